@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, urlfilter
+from . import bpe, html_extract, media, mixing, sharding, urlfilter
 from .shared import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_html_main_text(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_bpe_round_trip(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -17,9 +31,13 @@ def op7_minimax_shards(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_avi_mjpeg(spark, sf_dir):
+    return media.digests(media.write_column(table(spark, sf_dir, "documents")))
+
+
 def op10_link_graph(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_minimax_shards, op10_link_graph)}
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op3_bpe_round_trip, op4_mix_sources, op7_minimax_shards, op8_avi_mjpeg, op10_link_graph)}
 ORACLE = {}
