@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, media, mixing, sharding, urlfilter
+from . import ann, bpe, html_extract, langid, media, mixing, sharding, urlfilter
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op1_html_main_text(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_vp_tree_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
 def op3_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,9 +39,16 @@ def op8_avi_mjpeg(spark, sf_dir):
     return media.digests(media.write_column(table(spark, sf_dir, "documents")))
 
 
+def op9_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs, model).select("doc_id", "lang_pred", "score")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_link_graph(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op3_bpe_round_trip, op4_mix_sources, op7_minimax_shards, op8_avi_mjpeg, op10_link_graph)}
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_vp_tree_neighbours, op3_bpe_round_trip, op4_mix_sources, op7_minimax_shards, op8_avi_mjpeg, op9_language_mixture, op10_link_graph)}
 ORACLE = {}
