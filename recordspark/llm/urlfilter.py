@@ -7,7 +7,7 @@ from blocked seeds against them (who links to bad hosts is bad), and a host whos
 
 At scale: the graph is one of hosts, not pages: links are read in the JVM, cut to the host, and made distinct before
 anything is joined. Sums by host combine before they shuffle, so a host with a third of all pages is no hot key there;
-the join of pages to blocked hosts leaves skew to the adaptive split. Each round of the walk is a checkpoint in the
+the join of pages to blocked hosts is salted. Each round of the walk is a checkpoint in the
 shared folder, so a lost executor costs one round at most; the walk ends when nothing moves.
 
 Defined results: null url, or one without ://, has an empty host and path, no rule, verdict allow; null html has no
@@ -25,6 +25,7 @@ from .shared import checkpointed
 #: (verdict, rule): host up to the first /, then the path's prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,4 +85,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, rounds)
     blocked = scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("by_links"))
-    return judged.join(blocked, "host", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.decision", "by_links", F.lit("allow")).alias("verdict"))
+    # Salted: a host with a third of all pages is spread over SALTS tasks.
+    blocked = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    return judged.join(blocked, ["host", "salt"], "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.decision", "by_links", F.lit("allow")).alias("verdict"))
