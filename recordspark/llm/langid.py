@@ -144,3 +144,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def held_out(id_col: str = "doc_id") -> F.Column:
     """A quarter of the documents, told by the checksum of the id as text; never learned from."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def keep(docs: DataFrame, model: Model, least_share: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs in which one language holds at least least_share, with lang as found; in one pass, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [infer(shared.value, t) for t in batch.column(text_at).to_pylist()]
+            good = [i for i, x in enumerate(found) if x and x[0][1] >= least_share]
+            taken = batch.take(pa.array(good, pa.int64()))
+            columns = [pa.array([found[i][0][0] for i in good], pa.string()) if n == lang_at else taken.column(n) for n in range(len(docs_columns))]
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+
+    docs_columns = list(docs.columns)
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_extract, langid, media, mixing, sharding, urlfilter, warc
+from . import ann, bpe, html_extract, langid, media, minhash, mixing, sharding, urlfilter, warc
 from .shared import table
 
 
@@ -35,6 +35,10 @@ def op5_warc_zstd(spark, sf_dir):
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_order_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_minimax_shards(spark, sf_dir):
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=24, overhead=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,5 +59,8 @@ def op10_link_graph(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_vp_tree_neighbours, op3_bpe_round_trip, op4_mix_sources, op5_warc_zstd, op7_minimax_shards, op8_avi_mjpeg, op9_language_mixture, op10_link_graph)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_main_text, op2_vp_tree_neighbours, op3_bpe_round_trip, op4_mix_sources, op5_warc_zstd, op6_order_minhash, op7_minimax_shards, op8_avi_mjpeg, op9_language_mixture, op10_link_graph)
+}
 ORACLE = {}
