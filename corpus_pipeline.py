@@ -1,5 +1,61 @@
-"""Corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, near-duplicate removal, mixing of sources, BPE.
+
+Each stage takes all that the one before kept and writes it as Parquet, so that a lost executor repeats part of a stage
+only. All but the last return the columns of `documents`; further columns of the input are dropped.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recordspark.llm import bpe, langid, minhash, mixing
+from recordspark.llm.queries import tokenizer_path
+from recordspark.llm.shared import importable, shared_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document in which no language holds this share is rejected, as is one without a letter.
+LEAST_SHARE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are mostly in one learned language; lang becomes the language found."""
+    importable(spark)
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.keep(docs.select(*COLUMNS), model, LEAST_SHARE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near duplicates."""
+    importable(spark)
+    classes = minhash.near_duplicates(docs)
+    kept = classes.where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"))
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
+    docs = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document that the mix holds: doc_id, n_tokens, ids."""
+    importable(spark)
+    return bpe.encode(docs, tokenizer_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("mix", mix_sources), ("bpe", encode)]
+#: SQL has neither the language model nor the sketches nor BPE; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return docs
