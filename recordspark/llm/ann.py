@@ -137,7 +137,7 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, facto
     out = []
     for i, own in enumerate(query_ids):
         at = where[i][where[i] >= 0]
-        scores = (x[at] * q[i]).sum(axis=1)
+        scores = np.cumsum(x[at] * q[i], axis=1)[:, -1]  # added in order, as SQL engines do
         found = [(-s, int(v), s) for p, s in zip(at, scores) for v in tree["ids"][tree["id_ends"][p] : tree["id_ends"][p + 1]] if v != own]
         found.sort()
         out += [(int(own), v, float(s)) for _, v, s in found[:k]]
