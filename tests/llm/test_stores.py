@@ -1,0 +1,162 @@
+"""Neighbours, WARC archives and the pipeline."""
+
+import base64
+import hashlib
+import struct
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from recordspark.llm import ann, warc
+
+# Neighbours
+
+
+def brute(ids, x, k):
+    out = {}
+    for i, q in zip(ids, x):
+        s = [(-float(np.cumsum(q.astype(float) * v.astype(float))[-1]), int(j)) for j, v in zip(ids, x) if j != i]
+        out[int(i)] = [(j, -v) for v, j in sorted(s)[:k]]
+    return out
+
+
+@pytest.fixture(scope="module")
+def cloud():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(900, 12)).astype(np.float32) * rng.uniform(0.5, 2, (900, 1)).astype(np.float32)
+    x[200:260] = x[7]  # many copies
+    return np.arange(900), x
+
+
+def test_exact_search_equals_brute_force(cloud):
+    ids, x = cloud
+    want = brute(ids, x, 10)
+    out, share = ann.search(ann.build(x, ids, 11), x, ids, 10, 1.0)
+    got = {}
+    for q, v, s in out:
+        got.setdefault(q, []).append((v, s))
+    assert got == want and share <= 1
+
+
+def test_relaxed_search_visits_less(cloud):
+    ids, x = cloud
+    want, tree = brute(ids, x, 10), ann.build(x, ids, 11)
+    (_, all_), (out, share) = ann.search(tree, x, ids, 10, 1.0), ann.search(tree, x, ids, 10, 2.5)
+    found = {(q, v) for q, v, _ in out}
+    recall = np.mean([(q, v) in found for q, own in want.items() for v, _ in own])
+    assert share < all_ and recall >= 0.9
+
+
+def test_neighbours_over_shards(spark, cloud):
+    ids, x = cloud
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, rank int")
+    want = brute(ids, x, 5)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, shard_rows=200, block_rows=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(got[r.query_id])
+    assert got == {q: want[q] for q in range(0, 900, 20)}
+
+
+def test_vectors_that_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [nan, 1.0]), (100, [inf, 1.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0]), (3, []), (4, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (120, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.5), (120, 1, 4, 6.0)]
+    assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).isEmpty()
+
+
+# WARC
+
+
+def pages(spark):
+    rows = [(i, f"http://h/{i}", f"<p>page {i % 40 if i % 3 else 'hot'}</p>" * 20) for i in range(300)] + [(900, "u", None), (901, None, ""), (None, "u", "only"), (902, "a\r\nb: c", "é" * 70_000), (5, "u", "<p>page 5</p>" * 20), (5, "http://h/5", "<p>page 5</p>" * 20)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash"))
+
+
+def test_warc_round_trip(spark, tmp_path):
+    df = pages(spark)
+    source = [(r.page_id, (r.html or "").encode()) for r in df.collect()]
+    archives = warc.write(df, archive_rows=100)
+    out = warc.read(archives).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest) for r in out) == sorted((str(i), len(p), base64.b32encode(hashlib.sha1(p).digest()).decode()) for i, p in source)
+    payload = {r.payload_digest: bytes(r.payload) for r in out if r.record_type == "response"}
+    for i, p in source:
+        assert payload[warc.digest(p)] == p
+    first = {}
+    for i, p in source:
+        first[warc.digest(p)] = min(i if i is not None else 1 << 60, first.get(warc.digest(p), 1 << 60))
+    for r in out:
+        if r.record_type == "revisit":
+            assert r.refers_to == first[r.payload_digest] and r.payload is None
+    assert all(sum(r.payload_digest == d and r.record_type == "response" for r in out) == 1 for d in first)
+    warc.unpack(archives, str(tmp_path))
+    files = sorted(tmp_path.glob("*.warc.zst"))
+    assert len(files) == archives.count() > 2
+    assert struct.unpack("<I", files[0].read_bytes()[:4])[0] == 0x184D2A5D
+
+
+def test_small_payloads_are_responses(spark):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(warc.write(df, least=3)).collect()}
+    assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
+    assert warc.read(warc.write(df.where("false"))).isEmpty()
+
+
+def test_archives_have_dictionaries():
+    records = [warc.record(str(i), f"http://h/{i}", (f"<html><body class='page'><p>{i} " + "common words of all pages " * 9).encode(), "S", "response", None) for i in range(300)]
+    own = warc.write_archive(records)
+    assert list(warc.read_archive(own)) == records and len(own) < 0.5 * sum(map(len, records))
+    assert struct.unpack_from("<II", own)[1] > 0
+    assert list(warc.read_archive(warc.write_archive([b"one"]))) == [b"one"] and list(warc.read_archive(warc.write_archive([]))) == []
+    with pytest.raises(ValueError):
+        list(warc.read_archive(b"\0" * 20))
+
+
+# Pipeline
+
+
+@pytest.fixture(scope="module")
+def stages(spark, data, tmp_path_factory):
+    import corpus_pipeline
+
+    docs, out, at = spark.read.parquet(f"{data}/documents.parquet"), {}, tmp_path_factory.mktemp("pipeline")
+    out["documents"] = docs.toPandas()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, data).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+        out[name] = docs.toPandas()
+    return out
+
+
+def test_pipeline_stages(stages):
+    from recordspark.llm.queries import tokenizer_path
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert all(list(stages[n].columns) == columns for n in ("language", "near_duplicates", "mix"))
+    assert len(stages["language"]) >= 0.99 * len(stages["documents"])  # clean documents stay
+    kept = stages["near_duplicates"]
+    assert kept.doc_id.is_unique and kept.text.is_unique and len(kept) < len(stages["language"])
+    gone = stages["language"][~stages["language"].doc_id.isin(kept.doc_id)]
+    assert len(gone) and set(kept.text) >= set(stages["language"].text) - set(gone.text)
+    counts = stages["mix"].doc_id.value_counts()
+    assert counts.max() <= 2 and set(counts.index) <= set(kept.doc_id)
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    text = kept.set_index("doc_id").text
+    assert sorted(stages["bpe"].doc_id) == sorted(stages["mix"].doc_id)
+    for i, n, ids in stages["bpe"][["doc_id", "n_tokens", "ids"]].itertuples(index=False):
+        assert ids.tolist() == library.encode(text[i], add_special_tokens=False).ids and n == len(ids)
+
+
+def test_pipeline_odd_rows(spark, docs, no_docs):
+    import corpus_pipeline
+
+    for rows in (docs, no_docs):
+        for _, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, "")
+        got = {r.doc_id for r in rows.collect()}
+        assert got <= {1, 7, 8, 9, None}
