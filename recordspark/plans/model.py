@@ -284,6 +284,7 @@ class Config:
     ts_bucket_us: int | None = None  # set: files are partitioned by floor(ts / width)
     manifest_snapshot_every: int = 500
     max_broadcast_ranges: int = 10_000
+    max_broadcast_rows: int = 100_000  # newer entries whose keys are broadcast against a merged part
     extra: dict = field(default_factory=dict)
 
     def validate(self) -> Config:

@@ -74,8 +74,35 @@ class RecordTable:
         version = version or self.manifest.current()
         where = (at or ScanRange()).predicate(bucket="ts_bucket" if self.config.ts_bucket_us else None, width_us=self.config.ts_bucket_us)
         now = self.clock() if now_us is None else now_us
-        live = records.visible(self.log(version), now, snapshot_seq, where, self.log(version, ranges_only=True), self.config.max_broadcast_ranges)
-        return live.select(*records.RECORD, "seq")
+        tail = self.after_merged(version, snapshot_seq)
+        if tail is None:
+            live = records.visible(self.log(version), now, snapshot_seq, where, self.log(version, ranges_only=True), self.config.max_broadcast_ranges)
+            return live.select(*records.RECORD, "seq")
+        # The merged part holds one version of each (key, ts): it is filtered as it is read, without a shuffle of its rows.
+        base = self.read_parts([p for p in version.parts if p.merged]).where(where).where(F.col("expire_at") > F.lit(now))
+        if not tail:
+            return base.select(*records.RECORD, "seq")
+        newer = self.read_parts(tail).where(where)
+        newer = newer if snapshot_seq is None else newer.where(F.col("seq") <= snapshot_seq)
+        changed = newer.where(F.col("op") != Op.DELETE_RANGE).select("key", "ts").distinct()
+        if sum(p.rows for p in tail) <= self.config.max_broadcast_rows:
+            changed = F.broadcast(changed)
+        ranges = self.read_parts([p for p in tail if p.ranges])
+        hidden = ranges.where(F.col("op") == Op.DELETE_RANGE)
+        hidden = hidden if snapshot_seq is None else hidden.where(F.col("seq") <= snapshot_seq)
+        base = base.join(changed, ["key", "ts"], "left_anti")
+        base = records.without_ranges(base, hidden.select(F.col("key").alias("low"), F.col("range_end").alias("high"), F.col("seq").alias("at")), self.config.max_broadcast_ranges)
+        live = records.visible(self.read_parts(tail), now, snapshot_seq, where, ranges, self.config.max_broadcast_ranges)
+        return base.select(*records.RECORD, "seq").unionByName(live.select(*records.RECORD, "seq"))
+
+    @staticmethod
+    def after_merged(version: Version, snapshot_seq: int | None) -> list[Part] | None:
+        """The parts that came after the one merged part; None if there is no such part that is older than all others."""
+        merged = [p for p in version.parts if p.merged]
+        if len(merged) != 1 or snapshot_seq is not None and snapshot_seq < merged[0].max_seq:
+            return None
+        rest = [p for p in version.parts if not p.merged]
+        return rest if all(p.min_seq > merged[0].max_seq for p in rest) else None
 
     def query(self, at: ScanRange, now_us: int | None = None) -> list[Row]:
         out = records.in_order(self.scan(at, now_us=now_us)).collect()
@@ -108,7 +135,7 @@ class RecordTable:
             self.manifest.snapshot(keep=2)
         return new
 
-    def _write(self, rows: DataFrame) -> Part:
+    def _write(self, rows: DataFrame, merged: bool = False) -> Part:
         name = f"data/{uuid.uuid4().hex}"
         writer = rows
         if self.config.ts_bucket_us:
@@ -122,7 +149,7 @@ class RecordTable:
             F.count("*").alias("rows"), F.coalesce(F.max("expire_at"), F.lit(0)).alias("max_expire"), F.coalesce(F.min("seq"), F.lit(0)).alias("min_seq"), F.coalesce(F.max("seq"), F.lit(0)).alias("max_seq"),
             F.count_if(F.col("op") != Op.PUT).alias("tombstones"), F.count_if(F.col("op") == Op.DELETE_RANGE).alias("ranges"),
         ).first()
-        return Part(name, s["rows"], self.files.size(name), s["max_expire"], s["min_seq"], s["max_seq"], s["tombstones"], s["ranges"])
+        return Part(name, s["rows"], self.files.size(name), s["max_expire"], s["min_seq"], s["max_seq"], s["tombstones"], s["ranges"], merged)
 
     def entries(self, rows: Iterable[tuple]) -> DataFrame:
         """From (op, key, ts, expire_at, value, range_end) in order; a small batch that the driver already holds."""
@@ -187,7 +214,7 @@ class RecordTable:
         covered = records.without_ranges(points, ranges.select(F.col("key").alias("low"), F.col("range_end").alias("high"), F.col("seq").alias("at")), self.config.max_broadcast_ranges)
         merged = covered.where(F.col("op") == Op.PUT) if whole else covered.unionByName(ranges)
         n = max(1, sum(p.bytes for p in chosen) // (128 << 20))
-        part = self._write(merged.repartitionByRange(n, "key").sortWithinPartitions("key", "ts"))
+        part = self._write(merged.repartitionByRange(n, "key").sortWithinPartitions("key", "ts"), merged=whole)
         # Readers of an older version still need the old folders; vacuum() removes them later.
         kept = tuple(p for p in base.parts if p not in chosen)
         self.manifest.commit(base, parts=(*kept, part) if part.rows else kept)
@@ -229,4 +256,4 @@ class RecordTable:
     def part_stats(self) -> DataFrame:
         """A row for each part of the newest version."""
         parts = [tuple(asdict(p).values()) for p in self.manifest.current().parts]
-        return self.spark.createDataFrame(parts, "path string, rows long, bytes long, max_expire long, min_seq long, max_seq long, tombstones long, ranges long")
+        return self.spark.createDataFrame(parts, "path string, rows long, bytes long, max_expire long, min_seq long, max_seq long, tombstones long, ranges long, merged boolean")

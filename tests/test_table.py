@@ -132,3 +132,25 @@ def test_stats(table):
     assert table.stats.records_written == 2 and table.stats.records_read == 2
     assert "recordspark_records_written 2" in table.stats.metrics_text()
     assert table.part_stats().first()["rows"] == 2 and table.maintain(0)["purged"] == 0
+
+
+def test_scans_of_a_merged_table(table, spark):
+    rows = [(f"k{i:03d}", t, bytes([i % 256])) for i in range(200) for t in (1, 2)]
+    table.write_batch(rows[:200])
+    table.write_batch(rows[200:])
+    assert table.compact()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(table.scan(ScanRange.of_prefix("k1")))  # a filtered read and no more
+    assert len(keys(table)) == 400
+    table.write_batch([("k001", 1, b"new"), ("x", 1, V)])
+    table.delete_range("k010", "k020")
+    table.delete_batch([("k000", 2)])
+    table.write_batch([("k015", 1, b"again")])
+    merged = [(r["key"], r["ts"], bytes(r["value"])) for r in table.query(ScanRange.all())]
+    whole = table.manifest.current()
+    from dataclasses import replace
+
+    unmerged = replace(whole, parts=tuple(replace(p, merged=False) for p in whole.parts))
+    want = [(r["key"], r["ts"], bytes(r["value"])) for r in table.scan(version=unmerged).orderBy("key", "ts").collect()]
+    assert merged == want and len(want) == 400 - 20 - 1 + 1 + 1
+    assert "Exchange hashpartitioning" not in plan(table.scan()).split("Union")[1].split("BroadcastExchange")[0]
