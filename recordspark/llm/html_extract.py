@@ -45,6 +45,8 @@ OUT_WORDS = frozenset(
     comment comments commentlist discussion disqus respond reply replies reactions feedback
     share sharing social follow subscribe subscription newsletter signup login register search searchbox form hidden""".split()
 )
+#: Told within longer words too (leftsidebar, pagefooter).
+OUT_PARTS = re.compile("sidebar|footer|comments|cookie|advert|newsletter|breadcrumb|navbar|navigation|sponsor|masthead|disqus")
 COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus respond reply replies reactions feedback".split())
 KEPT_TAGS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -80,8 +82,10 @@ class Lines(HTMLParser):
         if tag in KEPT_TAGS:
             return tag == "article" and bool(words & COMMENT_WORDS)
         in_article = any(t in ("article", "main") for t, _ in self.stack)
-        if tag == "header" or words & {"header", "masthead"}:
-            return not (in_article and tag == "header") and tag not in HEADINGS
+        if tag == "header" or words & {"header", "masthead"}:  # of the page; an article's own has its title
+            return not in_article and tag not in HEADINGS
+        if any(map(OUT_PARTS.search, words)):
+            return True
         if words & OUT_WORDS and tag not in HEADINGS | {"p", "b", "i", "em", "strong", "a"} or words & {"ad", "ads", "advert", "advertisement", "sponsored", "comment", "notice", "cookie", "promo"}:
             return True
         return (at.get("role") or "").lower() in OUT_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in (at.get("style") or "").replace(" ", "").lower()

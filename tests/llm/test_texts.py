@@ -62,6 +62,11 @@ def test_main_text(tag):
     assert html_extract.main_text(PAGE % f"<{tag}>{BODY}</{tag.split()[0]}>") == TEXT
 
 
+def test_parts_that_are_left_out():
+    for part in ("div class='topNavbar'", "div id=leftsidebar", "ul class='main-menu'", "div role=navigation", "div class='promo box'", "div id='cookieBar'", "p class=ad", "div hidden", "section class='userComments'", "aside", "form", "div style='display: none'"):
+        assert html_extract.main_text(f"<body><article><div class='entry-header'><h1>Title</h1></div><p>Text of it.</p><{part}>Not this.</{part.split()[0]}><p>More.</p></article>") == "Title\nText of it.\nMore.", part
+
+
 def test_main_text_of_odd_pages():
     assert [html_extract.main_text(x) for x in (None, "", "<p>", "just text", "a &lt; b & c")] == ["", "", "", "just text", "a < b & c"]
     assert html_extract.main_text("<article><p>one<p>two <div>three") == "one\ntwo\nthree"
