@@ -100,3 +100,17 @@ def test_directions():
     assert Direction.parse("PrevUnique") is Direction.PREV_UNIQUE
     with pytest.raises(InvalidArgument):
         Direction.parse("up")
+
+
+def test_scalar_functions(spark):
+    from pyspark.sql import functions as F
+
+    from recordspark.functions import paths
+    from recordspark.plans.model import NEVER
+
+    df = spark.createDataFrame([(bytearray(b"a\xffb"), 5, NEVER), (bytearray("é".encode()), NEVER - 1, 7_000)], "key binary, ts long, expire_at long")
+    got = df.select(
+        paths.key_text(F.col("key")).alias("text"), paths.with_ttl(F.col("ts"), 2, F.col("expire_at")).alias("ttl"), paths.with_ttl(F.col("ts"), None, F.col("expire_at")).alias("kept"),
+        paths.expire_ms(F.col("expire_at")).alias("ms"), paths.record_size(F.col("key"), F.lit(None).cast("binary"), F.col("key")).alias("size"),
+    ).collect()
+    assert [tuple(r) for r in got] == [("a�b", 2_000_005, NEVER, None, 31 + 3 + 5), ("é", NEVER, 7_000, 7, 31 + 2 + 4)]
