@@ -17,7 +17,7 @@ Each stage is a table in the shared folder; nothing about documents or links rea
 copies cost one comparison per distinct text. Hot keys are aggregated before they shuffle and joined under the
 adaptive split.
 
-What may be missed: similar texts that agree in no band (with the defaults under 1 % at a similarity of exactly 0.8, far
+What may be missed: similar texts that agree in no band (with the defaults about 1 in 1000 at a similarity from 0.8 to 0.85,
 fewer above), and pairs whose every common band key holds over `exact_group` unlike texts.
 
 Defined results: null text and text without a word are never linked, each is its own class; repeated rows are copies and
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .shared import checkpointed, stored
 
 WIDTH, SIMILARITY = 5, 0.8
-SKETCHES, PICK, BANDS, ROWS_PER_BAND = 48, 2, 40, 4
+SKETCHES, PICK, BANDS, ROWS_PER_BAND = 64, 2, 56, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -284,6 +284,23 @@ def test_near_duplicates_odd_rows(docs, no_docs):
     assert minhash.near_duplicates(no_docs).isEmpty()
 
 
+def test_bands_meet_for_similar_texts():
+    """At a similarity from 0.8 to 0.85 hardly any pair agrees in no band."""
+    rnd, pairs, missed = random.Random(5), 0, 0
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    while pairs < 150:
+        base = [word() for _ in range(rnd.choice([40, 100, 300]))]
+        w = list(base)
+        for _ in range(max(1, len(w) * rnd.randint(10, 25) // 1000)):
+            i = rnd.randrange(len(w))
+            w[i : i + 1] = rnd.choice([[word()], [], [w[i], word()]])
+        a, b = minhash.shingles(" ".join(base)), minhash.shingles(" ".join(w))
+        if 0.8 <= minhash.aligned(a, b) < 0.85:
+            pairs += 1
+            missed += not set(minhash.band_keys(a).tolist()) & set(minhash.band_keys(b).tolist())
+    assert missed <= 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(200, 201)]
     random.Random(1).shuffle(chain)
