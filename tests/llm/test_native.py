@@ -178,3 +178,9 @@ def test_words_are_counted_as_told(spark):
     text = "a\u00a0b c\x0bd  e\x1cf\n"
     out = mixing.mix(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
     assert out["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", text)) == 4
+
+
+@pytest.mark.parametrize("name", ["op4_mix_sources", "op10_link_graph"])
+def test_native_plans_have_no_python(name, spark, data):
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
