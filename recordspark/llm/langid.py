@@ -5,9 +5,10 @@ share of each language that makes its trigrams likeliest. The set of languages i
 languages are taken in the order of their shares, and one more is accepted only while it raises the log-likelihood by
 more than `penalty` times the logarithm of the number of trigrams. The largest share names the document's language.
 
-Fitting takes, of each labelled language, the `fit_rows` documents with the least hashes of their ids, whole; that bound
-and the number of buckets bound the model (4 bytes * buckets * languages). Ids alone are ordered to find them. Prediction
-covers every row in one pass without a shuffle; the model is broadcast.
+Fitting takes, of each labelled language, about `fit_rows` documents, whole: those whose id's hash, in [0, 1), is under
+fit_rows / (the language's documents); all of them where there are fewer. Each executor filters and counts what it reads:
+only counts by (language, bucket) are shuffled. The driver holds a row for each language and the model, 4 bytes * buckets
+* languages. Prediction covers every row in one pass without a shuffle; the model is broadcast.
 
 Defined results: null text, and text without any letter, is `und` with score 0 (as is everything when nothing was
 learned); ties go to the language first in code-point order; an empty table gives an empty result; repeated rows give
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import unit_interval
@@ -59,9 +60,11 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, smoothing: float = 0.5, i
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), unit_interval(F.lit("fit"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("u")
     )
-    least = Window.partitionBy("lang").orderBy("u")
-    bound = rows.select("lang", "u").withColumn("n", F.row_number().over(least)).where(F.col("n") <= fit_rows).groupBy("lang").agg(F.max("u").alias("most"))
-    sample = rows.join(bound, "lang").where("u <= most").select("lang", "text")
+    labels = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not labels:
+        return Model([], np.empty((BUCKETS, 0), np.float32))
+    most = F.create_map(*[F.lit(x) for lang, n in labels.items() for x in (lang, min(1.0, fit_rows / n))])
+    sample = rows.where(F.col("u") < most[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
