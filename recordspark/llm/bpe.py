@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 SHORT = 256
 NONE = 1 << 60
 #: The byte-level pattern of words, with the Unicode white space spelled out.
@@ -170,7 +172,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, cache_words)
-        for batch in batches:
+        for batch in slices(batches):
             packed = [bpe.encode_bytes(t or "") for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -185,7 +187,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, 1000)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -197,7 +199,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = loaded(path, cache_words), lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 packed = bpe.encode_bytes(text or "")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unit_interval
+from .shared import slices, unit_interval
 
 BUCKET_BITS, FIT_ROWS, UNKNOWN = 16, 1000, "und"
 BUCKETS = 1 << BUCKET_BITS
@@ -68,7 +68,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, smoothing: float = 0.5, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[lang] = sums.get(lang, 0) + trigrams(text)
         for lang, n in sums.items():
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [infer(shared.value, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -155,7 +155,7 @@ def keep(docs: DataFrame, model: Model, least_share: float, id_col: str = "doc_i
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [infer(shared.value, t) for t in batch.column(text_at).to_pylist()]
             good = [i for i, x in enumerate(found) if x and x[0][1] >= least_share]
             taken = batch.take(pa.array(good, pa.int64()))

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 SIDE, BINS, FPS = 8, 16, 25  # blocks to a frame's side; histogram bins; frames a second
 PER_FRAME = SIDE * SIDE
 #: The zigzag order of an 8x8 block, made from its diagonals.
@@ -288,10 +290,9 @@ def write_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row per document: doc_id, media binary, an AVI that holds the text's UTF-8 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([write_avi(padded(x), len(x)) for x in raw], pa.binary())], ["doc_id", "media"])
+        for part in slices(batches):
+            raw = [(t or "").encode() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([write_avi(padded(x), len(x)) for x in raw], pa.binary())], ["doc_id", "media"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, media binary")
@@ -301,7 +302,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     """A row per shot: doc_id, clip, first_frame, end_frame, start_s, end_s, histogram array<double>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
                 frames, fps, _ = parse_avi(data) if data else ([], 1.0, None)
@@ -323,7 +324,7 @@ def digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in batch.column(1).to_pylist():
                 frames, fps, _ = parse_avi(data)

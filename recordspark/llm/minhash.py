@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, stored
+from .shared import checkpointed, slices, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 SKETCHES, PICK, BANDS, ROWS_PER_BAND = 64, 2, 56, 4
@@ -48,7 +48,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash; emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -137,7 +137,7 @@ def sketched(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, sig (digest of the text), n (shingles), bands array<long>; rows without a word are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, counts, keys = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 if len(hashes := shingles(text, width) if text else ()):
@@ -157,7 +157,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hashes = None, None
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for i, (a, s, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if a != last:
