@@ -11,14 +11,17 @@ least s, no matched pair can stand further from the diagonal than (a + b)(1 - s)
 As labelled shingles are unique, the alignment is a longest increasing run over the shared positions in the band.
 
 At scale: texts are sketched in one pass without a shuffle; equal texts collapse to one representative by digest. A band
-key's members are compared with the least of them (a star, not all pairs); linked components are then found, and only
-band keys that still hold several components, up to `exact_group` texts, are compared pair by pair, across components.
+key's members are compared with the least of them (a star, not all pairs); linked components are then found, and every
+pair of a band key that is still in two components is compared: as rows up to `exact_group` texts, above it in blocks of
+`BLOCK` texts against blocks, where a count of shared shingles leaves only the pairs that can be similar to align.
 Each stage is a table in the shared folder; nothing about documents or links reaches the driver. Groups of thousands of
 copies cost one comparison per distinct text. Hot keys are aggregated before they shuffle and joined under the
 adaptive split.
 
+A large key of unlike texts costs all its pairs, block by block.
+
 What may be missed: similar texts that agree in no band (with the defaults about 1 in 1000 at a similarity from 0.8 to 0.85,
-fewer above), and pairs whose every common band key holds over `exact_group` unlike texts.
+fewer above).
 
 Defined results: null text and text without a word are never linked, each is its own class; repeated rows are copies and
 so in one class; ties go to the smaller id; an empty table gives an empty result; further columns are ignored. Texts are
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +45,7 @@ from .shared import checkpointed, slices, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 SKETCHES, PICK, BANDS, ROWS_PER_BAND = 64, 2, 56, 4
+BLOCK, COLUMNS = 128, 8192
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,6 +199,95 @@ def components(links: DataFrame) -> DataFrame:
         edges, before = new, now
 
 
+def shared_counts(flat: np.ndarray, lengths: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each text of left shares with each of right. flat: the texts' shingles, one text after another."""
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(lengths)), lengths), times > 1
+    at = common[column]
+    column, row = (np.cumsum(common) - 1)[column[at]], row[at]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        holds = np.zeros((len(lengths), COLUMNS), np.float32)
+        holds[row[a:b], column[a:b] - start] = 1
+        out += holds[left] @ holds[right].T
+    return out
+
+
+def linked_across(rep: np.ndarray, root: np.ndarray, hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (a, b) that connect all pairs of left and right at least so similar; pairs already connected need no link."""
+    lengths = np.array([len(h) for h in hashes])
+    shared = shared_counts(np.concatenate(hashes), lengths, left, right)
+    least = (lengths[left][:, None] + lengths[right][None]) * similarity / (1 + similarity) - 1e-6  # what an alignment must match
+    i, j = np.nonzero((shared >= least) & (root[left][:, None] != root[right][None]))
+    order = np.argsort(-shared[i, j], kind="stable")
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in above:
+            if (up := above[x]) in above:
+                above[x] = above[up]
+            x = up
+        return x
+
+    out = []
+    for a, b in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+        x, y = find(int(root[a])), find(int(root[b]))
+        if x != y and aligned(hashes[a], hashes[b], similarity) >= similarity:
+            above[max(x, y)] = min(x, y)
+            out.append((int(rep[a]), int(rep[b])))
+    return out
+
+
+def shingled(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """texts: rep, text. rep, hashes (the labelled shingles in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))], ["rep", "hashes"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, hashes array<long>")
+
+
+def several_roots(members: DataFrame) -> DataFrame:
+    """members: key, rep, root. Of the keys that hold several roots: key, size, major (its most frequent root) and major_size."""
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = counts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("m"))
+    return keys.where(F.col("size") > F.col("m.c")).select("key", "size", F.col("m.root").alias("major"), F.col("m.c").alias("major_size"))
+
+
+def links_in_blocks(members: DataFrame, keys: DataFrame, texts: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
+    """Links between the roots of each key, from all its pairs of different roots. members: key, rep, root; keys: of several_roots.
+
+    Members are dealt to blocks by a hash, those of the most frequent root to blocks of their own, which needn't meet each
+    other. A pair of blocks is one bounded unit of work.
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)))
+    minor, major = blocks(F.col("size") - F.col("major_size")), blocks(F.col("major_size"))
+    is_major, deal = F.col("root") == F.col("major"), F.xxhash64("rep")
+    dealt = members.join(keys, "key").select(
+        "key", "rep", "root", F.when(is_major, minor + F.pmod(deal, major)).otherwise(F.pmod(deal, minor)).alias("block"),
+        F.when(is_major, minor - 1).otherwise(minor + major - 1).alias("last"),
+    )
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select("key", "rep", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    hashes = stored(shingled(texts.join(dealt.select("rep").distinct(), "rep", "left_semi"), width), "block-shingles")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rep").combine_chunks()
+        rep, root, block, lists = rows["rep"].to_numpy(), rows["root"].to_numpy(), rows["block"].to_numpy(), rows["hashes"].combine_chunks()
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        own = np.split(pc.list_flatten(lists).to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+        found = linked_across(rep, root, own, left, right, similarity) if len(left) and len(right) else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return met.join(hashes, "rep").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, exact_group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (the least id of its class)."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -211,8 +305,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, exact_group
     links = stored(verified(star, texts, similarity), "star-links")
     roots = components(links)
 
-    # Band keys whose members are in several components: pairs across those, if the key isn't too common.
-    placed = held.where(F.col("size") <= exact_group).join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    # Band keys whose members are in several components: pairs across those. Large keys first, in two rounds: what the
+    # largest key of each text links leaves the fewer of its other keys in several components.
+    place = lambda members: members.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    done = None
+    for last in (False, True):
+        large = place(held.where(F.col("size") > exact_group))
+        keys = several_roots(large)
+        keys = stored(keys.join(done, "key", "left_anti") if last else keys, "large-keys")
+        if keys.isEmpty():
+            break
+        large = stored(large.join(keys.select("key"), "key", "left_semi"), "large-members")
+        if not last:
+            best = large.join(keys, "key").groupBy("rep").agg(F.max(F.struct("size", "key")).alias("best")).select(F.col("best.key").alias("key")).distinct()
+            done = keys = stored(keys.join(best, "key", "left_semi"), "first-keys")
+        found = stored(links_in_blocks(large, keys.select("key", "size", "major", "major_size"), texts, similarity), "block-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
+        done = done.select("key")
+
+    placed = place(held.where(F.col("size") <= exact_group))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     placed = stored(placed.join(mixed_keys, "key", "left_semi"), "mixed-members")
     other = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))

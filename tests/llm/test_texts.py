@@ -278,6 +278,46 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in out.collect()} == {i: find(i) for i in range(len(texts))}
 
 
+def test_large_group_around_a_text_that_is_not_its_least(spark):
+    """500 variants, each similar to a base in mid id order and hardly to each other: every pair of a band key counts."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = []
+    for _ in range(500):
+        w = list(base)
+        for i in rnd.sample(range(300), 6):
+            w[i] = word()
+        texts.append(" ".join(w))
+    texts[250] = " ".join(base)
+    hashes = [minhash.shingles(t) for t in texts]
+    members, root = collections.defaultdict(list), list(range(len(texts)))
+    for i, h in enumerate(hashes):
+        for key in minhash.band_keys(h).tolist():
+            members[key].append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    assert max(map(len, members.values())) > 64
+    for i, j in {(i, j) for own in members.values() for i in own for j in own if i < j}:
+        x, y = sorted((find(i), find(j)))
+        if x != y and minhash.aligned(hashes[i], hashes[j]) >= 0.8:
+            root[y] = x
+    out = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in out.collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    own = [rng.choice(60, rng.integers(1, 40), replace=False).astype(np.uint64) for _ in range(12)]
+    got = minhash.shared_counts(np.concatenate(own), np.array([len(x) for x in own]), np.arange(5), np.arange(5, 12))
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in own[5:]] for a in own[:5]]
+
+
 def test_near_duplicates_odd_rows(docs, no_docs):
     got = collections.Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect())
     assert got == {(1, 1): 1, (6, 1): 2, (None, None): 1, **{(i, i): 1 for i in (2, 3, 4, 5, 7, 8, 9, 10)}}
