@@ -5,6 +5,8 @@ Euclidean distance, a metric. A tree splits them at the median distance from van
 the smallest and largest distance of each half. For a block of queries the triangle inequality gives each leaf a lower
 bound; the leaves with the least bounds are searched first, then each leaf whose bound times `factor` doesn't exceed
 the query's distance to its k-th found. Factor 1 is exact search; a larger one prunes more and may miss some.
+A query keeps SPARE vectors beyond the k-th; where they all tie with it, within rounding, its leaves are searched again
+for every vector that reaches the k-th score, so that the smaller ids win however many tie.
 Scores are then computed anew in double precision from the original vectors.
 
 At scale: vectors are dealt to shards of about `shard_rows` by a hash of their id, queries to blocks of `block_rows`,
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF, SPARE = 128, 12
+LEAF, SPARE, TIED = 128, 12, 64
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
@@ -124,6 +126,15 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, facto
         top = np.argpartition(-got, keep - 1, axis=1)[:, :keep]
         best[who], where[who] = np.take_along_axis(got, top, 1), np.take_along_axis(at, top, 1)
 
+    def reaching(who: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The vectors of all leaves that the bound doesn't exclude whose product reaches `least`."""
+        allowed = bounds[who] * factor <= (np.sqrt(np.maximum(0, base[who] - 2 * least[who])) * (1 + 1e-9) + 1e-9)[:, None]
+        seen[who] |= allowed
+        open_ = np.flatnonzero(allowed.any(axis=0))
+        rows = np.concatenate([np.arange(*tree["leaves"][leaf]) for leaf in open_])
+        fits = (q[who] @ x[rows].T >= least[who][:, None]) & np.repeat(allowed[:, open_], np.diff(tree["leaves"][open_], axis=1).ravel(), axis=1)
+        return [(int(i), rows[f]) for i, f in zip(who, fits)]
+
     n = len(tree["leaves"])
     first = np.argsort(bounds, axis=1, kind="stable")[:, : min(n, 4)]
     for leaf in range(n):
@@ -134,8 +145,21 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, facto
         limit = np.sqrt(np.maximum(0, base - 2 * kth)) * (1 + 1e-9) + 1e-9
         if len(who := np.flatnonzero(~seen[:, leaf] & (bounds[:, leaf] * factor <= limit))):
             visit(int(leaf), who)
+    kth, slack = np.partition(best, keep - 1 - k, axis=1)[:, keep - 1 - k], 1e-12 * base
+    least = kth - slack  # products are rounded otherwise than the scores
+    tied = np.isfinite(kth) & (best.min(axis=1) >= least)
+    wide = {i: at for some in np.array_split(np.flatnonzero(tied), math.ceil(tied.sum() / TIED) or 1) for i, at in reaching(some)} if tied.any() else {}
     out = []
     for i, own in enumerate(query_ids):
+        if i in wide:
+            at = wide[i]
+            scores = np.cumsum(x[at] * q[i], axis=1)[:, -1]
+            n_ids = tree["id_ends"][at + 1] - tree["id_ends"][at]
+            flat = np.repeat(tree["id_ends"][at] - np.cumsum(n_ids) + n_ids, n_ids) + np.arange(n_ids.sum())
+            others, scores = tree["ids"][flat], np.repeat(scores, n_ids)
+            others, scores = others[others != own], scores[others != own]
+            out += [(int(own), int(others[j]), float(scores[j])) for j in np.lexsort((others, -scores))[:k]]
+            continue
         at = where[i][where[i] >= 0]
         scores = np.cumsum(x[at] * q[i], axis=1)[:, -1]  # added in order, as SQL engines do
         found = [(-s, int(v), s) for p, s in zip(at, scores) for v in tree["ids"][tree["id_ends"][p] : tree["id_ends"][p + 1]] if v != own]

@@ -39,6 +39,25 @@ def test_exact_search_equals_brute_force(cloud):
     assert got == want and share <= 1
 
 
+@pytest.mark.parametrize("kind", ["signs", "sparse"])
+def test_more_ties_than_spare_vectors(kind):
+    """Of distinct vectors with the k-th score the smaller ids are taken, however many there are."""
+    rng = np.random.default_rng(1)
+    x = rng.choice([-1.0, 1.0], (3000, 24)) if kind == "signs" else (rng.random((3000, 40)) < 0.1).astype(float)
+    x = x[x.any(axis=1)].astype(np.float32)
+    ids = rng.permutation(len(x))
+    tree, asked = ann.build(x, ids, 6), range(0, len(x), 30)
+    got = {}
+    for q, v, s in ann.search(tree, x[asked], ids[asked], 5, 1.0)[0]:
+        got.setdefault(q, []).append((v, s))
+    scores, tied = x.astype(float) @ x.astype(float).T, 0  # whole numbers, so exact
+    for i in asked:
+        others = [j for j in np.lexsort((ids, -scores[i])) if j != i]
+        assert got[int(ids[i])] == [(int(ids[j]), float(scores[i, j])) for j in others[:5]]
+        tied += int((scores[i] >= scores[i, others[4]]).sum()) > 5 + 1 + ann.SPARE
+    assert tied
+
+
 def test_relaxed_search_visits_less(cloud):
     ids, x = cloud
     want, tree = brute(ids, x, 10), ann.build(x, ids, 11)
