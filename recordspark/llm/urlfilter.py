@@ -8,7 +8,8 @@ from blocked seeds against them (who links to bad hosts is bad), and a host whos
 At scale: the graph is one of hosts, not pages: links are read in the JVM, cut to the host, and made distinct before
 anything is joined. Sums by host combine before they shuffle, so a host with a third of all pages is no hot key there;
 the join of pages to blocked hosts is salted. Each round of the walk is a checkpoint in the
-shared folder, so a lost executor costs one round at most; the walk ends when nothing moves.
+shared folder, so a lost executor costs one round at most. The walk ends when what is left of it can't move any host
+across the threshold, or can't add more than `tolerance` to any host.
 
 Defined results: null url, or one without ://, has an empty host and path, no rule, verdict allow; null html has no
 links; repeated links count once; links of a host to itself are not edges; an empty table gives an empty result;
@@ -17,6 +18,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from .shared import checkpointed
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 SALTS = 32
+#: Rounds from one look at which hosts are undecided to the next.
+CHECKED = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,9 +60,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9, threshold: float | None = None) -> DataFrame:
     """edges: (src, dst); seeds: (host, trust, distrust), weights from 0 to 1. Returns (host, trust, distrust).
 
+    Ends after `rounds` if given, else when all later flow can't add up to over `tolerance`, and with a threshold when it
+    can't move distrust - trust of any host across that.
+
     Trust runs along edges, split over a host's out-links; distrust against them, split over its in-links. Scores are
     in units of a seed (divided by 1 - damping) and rounded, so that the order of sums can't show.
     """
@@ -69,21 +77,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     flow = start
     if not ways.isEmpty():
         # scores = sum of start's mass carried along 0, 1, 2, ... edges; flow is the last term
-        for _ in range(rounds):
+        for n in itertools.count(1) if rounds is None else range(1, rounds + 1):
             sent = flow.withColumnRenamed("host", "here").join(ways, ["good", "here"])
-            flow = checkpointed(sent.groupBy("good", F.col("there").alias("host")).agg(F.round(F.sum(F.col("score") * damping / F.col("degree")), 12).alias("score")).where(F.col("score") > tolerance))
-            if flow.isEmpty():
+            flow = checkpointed(sent.groupBy("good", F.col("there").alias("host")).agg(F.sum(F.col("score") * damping / F.col("degree")).alias("score")).where("score > 0"))
+            left = {r.good: r.score for r in flow.groupBy("good").agg(F.sum("score").alias("score")).collect()}
+            if not left:
                 break
-            scores = checkpointed(scores.unionByName(flow).groupBy("good", "host").agg(F.round(F.sum("score"), 12).alias("score")))
-    return scores.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("good") == good, F.col("score"))), F.lit(0.0)).alias(name) for good, name in ((True, "trust"), (False, "distrust"))])
-
-
-def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+            scores = checkpointed(scores.unionByName(flow).groupBy("good", "host").agg(F.sum("score").alias("score")))
+            if rounds is None:
+                # each further round carries at most the damped flow of the one before
+                trust, distrust = (left.get(good, 0.0) * damping / (1 - damping) for good in (True, False))
+                if trust + distrust <= tolerance:
+                    break
+                if threshold is not None and n % CHECKED == 0:
+                    apart = scores.groupBy("host").agg(F.sum(F.when(F.col("good"), -F.col("score")).otherwise(F.col("score"))).alias("apart"))
+                    if apart.where((F.col("apart") >= threshold - distrust - tolerance) & (F.col("apart") <= threshold + trust + tolerance)).isEmpty():
+                        break
+    return scores.groupBy("host").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("good") == good, F.col("score"))), F.lit(0.0)), 12).alias(name) for good, name in ((True, "trust"), (False, "distrust"))])
+
+
+def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row per page: page_id, host, path, rule, verdict."""
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("r", rule_of(rules))
     share = lambda what: F.avg(F.when(F.col("r.decision") == what, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, rounds)
+    scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, rounds, threshold=threshold)
     blocked = scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("by_links"))
     # Salted: a host with a third of all pages is spread over SALTS tasks.
     blocked = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

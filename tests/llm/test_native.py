@@ -174,6 +174,23 @@ def test_propagation_equals_dense_sums(spark):
             assert got.get(str(i), (0, 0))[which] == pytest.approx(total[i], abs=1e-9)
 
 
+def test_walk_goes_on_until_verdicts_are_settled(spark):
+    """Distrust that circles between two hosts passes the threshold after 20 rounds only: 0.85 * s / (1 - 0.85 ** 2)."""
+    edges = spark.createDataFrame([("x", "seed"), ("x", "y"), ("y", "x")], "src string, dst string")
+    seeds = spark.createDataFrame([("seed", 0.0, 0.164)], "host string, trust double, distrust double")
+    short, judged = ({r.host: r.distrust for r in urlfilter.propagate(edges, seeds, **k).collect()} for k in ({"rounds": 20}, {"threshold": 0.5}))
+    assert short["x"] < 0.5 <= judged["x"] <= 0.164 * 0.85 / (1 - 0.85**2)
+
+
+def test_small_flows_add_up(spark):
+    seeds = spark.createDataFrame([(str(i), 0.0, 8e-7) for i in range(1000)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([("x", str(i)) for i in range(1000)], "src string, dst string")
+    got = {r.host: r.distrust for r in urlfilter.propagate(edges, seeds).collect()}
+    split = spark.createDataFrame([(f"h{i}", "s") for i in range(1000)] + [("t", f"h{i}") for i in range(1000)], "src string, dst string")
+    far = {r.host: r.distrust for r in urlfilter.propagate(split, spark.createDataFrame([("s", 0.0, 1e-3)], "host string, trust double, distrust double")).collect()}
+    assert got["x"] == pytest.approx(1000 * 8e-7 * 0.85) and far["t"] == pytest.approx(1e-3 * 0.85**2)
+
+
 def test_words_are_counted_as_told(spark):
     text = "a\u00a0b c\x0bd  e\x1cf\n"
     out = mixing.mix(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
