@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordspark.llm import bpe, langid, minhash, mixing
@@ -28,11 +28,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near duplicates."""
+    """Keeps one row of each class of near duplicates: that of the least id, then of the least digest of its text.
+
+    Rows that repeat are one document; rows with neither an id nor a word all stay.
+    """
     importable(spark)
-    classes = minhash.near_duplicates(docs)
-    kept = classes.where("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    classes = minhash.classed(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig")
+    kept = classes.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.sig")
+    kept = kept.unionByName(classes.where("root is null").select("doc_id", "sig").distinct()).select(F.col("doc_id").alias("kept_id"), F.col("sig").alias("kept_sig"), F.lit(True).alias("kept"))
+    wordless = classes.where("root is null and doc_id is null").select(F.col("sig").alias("kept_sig")).distinct().withColumn("every", F.lit(True))
+    rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("own_id"), minhash.digest().alias("sig"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & F.col("sig").eqNullSafe(F.col("kept_sig"))).drop("kept_sig")
+    rows = rows.join(wordless, F.col("own_id").isNull() & rows.sig.eqNullSafe(wordless.kept_sig), "left")
+    # Of rows that repeat the one whose other columns come first.
+    same = Window.partitionBy("own_id", "sig", F.when(F.col("every"), F.monotonically_increasing_id())).orderBy("lang", "source", "n_chars")
+    return rows.withColumn("turn", F.row_number().over(same)).where("turn = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ What may be missed: similar texts that agree in no band (with the defaults about
 fewer above).
 
 Defined results: null text and text without a word are never linked, each is its own class; repeated rows are copies and
-so in one class; ties go to the smaller id; an empty table gives an empty result; further columns are ignored. Texts are
+so in one class; an id with two texts can be in two classes; rows without an id but with a text are in classes too, whose
+class_id is null if none of their rows has an id; ties go to the smaller id; an empty table gives an empty result; further columns are ignored. Texts are
 used whole.
 """
 
@@ -45,7 +46,7 @@ from .shared import checkpointed, slices, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 SKETCHES, PICK, BANDS, ROWS_PER_BAND = 64, 2, 56, 4
-BLOCK, COLUMNS = 128, 8192
+BLOCK, COLUMNS, SALTS = 128, 8192, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -290,18 +291,30 @@ def links_in_blocks(members: DataFrame, keys: DataFrame, texts: DataFrame, simil
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, exact_group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (the least id of its class)."""
+    return classed(docs, similarity, exact_group, id_col, text_col).select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def digest(text_col: str = "text") -> F.Column:
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+
+
+def classed(docs: DataFrame, similarity: float = SIMILARITY, exact_group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, sig (the text's digest), root (a number for its class; null without a word), class_id (the class's least id)."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = ids.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sig"), "text")
+    rows = ids.select("doc_id", digest().alias("sig"), "text")
     base = stored(sketched(rows), "sketches")
-    reps = stored(base.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sketch-reps")
+    found = base.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # Each distinct text gets a number of its own, in the order of its least id.
+    reps = stored(found.orderBy(F.col("id").asc_nulls_last(), "sig").withColumn("rep", F.monotonically_increasing_id()), "sketch-reps")
     keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)  # noqa: E731  what texts of these lengths can reach
 
     held = stored(keyed.join(heads, "key").select("key", "size", "rep", "n", F.col("head.rep").alias("a"), F.col("head.n").alias("n_a")), "band-members")
     star = stored(held.where((F.col("rep") != F.col("a")) & alike(F.col("n"), F.col("n_a"))).select("a", F.col("rep").alias("b")).distinct(), "star-pairs")
-    wanted = held.select("rep").distinct()
-    texts = stored(ids.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "candidate-texts")
+    wanted = reps.join(held.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("sig").alias("own"), "id")
+    texts = rows.join(wanted, (F.col("sig") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "text")
+    texts = stored(texts.dropDuplicates(["rep"]), "candidate-texts")
     links = stored(verified(star, texts, similarity), "star-links")
     roots = components(links)
 
@@ -334,5 +347,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, exact_group
     more = stored(verified(across, texts, similarity), "cross-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    classes = reps.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("class_id"))
-    return rows.drop("text").join(classes, "sig", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    classes = reps.join(roots, "rep", "left").select("sig", "id", F.coalesce("root", "rep").alias("root"), F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int").alias("salt"))
+    # Classes of several texts look up their least id; salted, as one may hold a large share of all texts.
+    least = classes.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).where("c > 1").select("root", "class_id", F.lit(True).alias("many"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = classes.join(least, ["root", "salt"], "left").select("sig", "root", F.when(F.col("many"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    return rows.drop("text").join(classes, "sig", "left").select("doc_id", "sig", "root", "class_id")

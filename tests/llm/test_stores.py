@@ -179,3 +179,16 @@ def test_pipeline_odd_rows(spark, docs, no_docs):
             rows = stage(spark, rows, "")
         got = {r.doc_id for r in rows.collect()}
         assert got <= {1, 7, 8, 9, None}
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Repeated rows, copies without an id, and an id with two texts."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "other")
+    rows = [(1, a, "en"), (1, a, "en"), (1, a, "de"), (2, near, "en"), (None, near, "en"), (None, b, "en"), (None, b, "en"), (4, c, "en"), (4, a + " more", "en"), (5, "", "en"), (5, "", "en"), (None, "", "en"), (None, "", "en"), (6, None, "en"), (None, None, "en")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r)[:3] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(1, a, "de"), (None, b, "en"), (4, c, "en"), (5, "", "en"), (None, "", "en"), (None, "", "en"), (6, None, "en"), (None, None, "en")]
+    assert sorted(got, key=str) == sorted(want, key=str)
