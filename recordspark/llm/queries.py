@@ -65,11 +65,13 @@ QUERIES = {
 }
 
 
-def mixing_sql(seed: int = 7, bins: int = mixing.BINS) -> str:
-    """The same mix with one running sum over each source in Pareto order (rank, doc_id, size)."""
+def mixing_sql(seed: int = 7) -> str:
+    """The same mix: water-filling over sources, then over the length classes of each, and one running sum over each source in Pareto order."""
     return f"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / CAST({2**52} AS DOUBLE) AS u FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+     i AS (SELECT *, CAST(length(bin(size)) AS DOUBLE) AS w,
+                  greatest(CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size || ':' || row_number() OVER (PARTITION BY doc_id, source, size)), 1, 13)) AS BIGINT) / CAST({2**52} AS DOUBLE), {2.0**-53!r}) AS u,
+                  row_number() OVER (PARTITION BY doc_id, source, size) AS number FROM d),
      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
      w AS (SELECT *, CASE (row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight,
                   row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) AS turn, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
@@ -78,10 +80,17 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
      g AS (SELECT *, size_left * weight >= cap * weight_left AS is_full FROM f),
      l AS (SELECT size_left AS l_size, weight_left AS l_weight FROM g WHERE NOT is_full ORDER BY cap / weight, turn LIMIT 1),
      t AS (SELECT source, source_size, CASE WHEN is_full OR l_weight IS NULL THEN cap ELSE least(l_size * weight / l_weight, cap) END AS target FROM g LEFT JOIN l ON true),
-     r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
-                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r"""
+     c AS (SELECT i.source, w, source_size, target, CAST(sum(size) AS DOUBLE) AS words FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+     cl AS (SELECT *, target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_left,
+                   sum(words * w) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_below FROM c),
+     cf AS (SELECT *, weight_below <= 0 OR words_left * w >= 2.0::DOUBLE * weight_below * (1 - 1e-9::DOUBLE) AS is_full FROM cl),
+     ce AS (SELECT *, CASE WHEN is_full THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE, w * arg_max(CASE WHEN NOT is_full THEN words_left / weight_below END, CASE WHEN NOT is_full THEN w END) OVER (PARTITION BY source)) END AS expected FROM cf),
+     cc AS (SELECT *, CAST(floor(expected + 1e-9::DOUBLE) AS BIGINT) AS certain FROM ce),
+     cp AS (SELECT *, CASE WHEN expected - certain > 1e-9::DOUBLE THEN expected - certain ELSE 0.0::DOUBLE END AS p, target - sum(certain * words) OVER (PARTITION BY source) AS rest FROM cc),
+     r AS (SELECT i.doc_id, i.source, i.size, i.number, cp.source_size, cp.target, certain, rest, p, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS rank
+           FROM i JOIN cp ON i.source IS NOT DISTINCT FROM cp.source AND i.w = cp.w),
+     o AS (SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source, p > 0 ORDER BY rank, doc_id NULLS FIRST, size, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN p > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o"""
 
 
 NEAREST_SQL = """

@@ -58,15 +58,79 @@ def test_mix_takes_what_it_says(spark, docs):
     for _, own in out.groupby("source"):
         assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max()
     again = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(7)).toPandas()
-    assert (out.set_index("doc_id").taken == again.set_index("doc_id").taken).all()
+    assert (out.set_index("doc_id").taken.sort_index() == again.set_index("doc_id").taken.sort_index()).all()
+
+
+def plain_mix(rows, weights, budget, cap, seed=7):
+    """The mix in plain Python: the rate by bisection, then each source's documents one after another in Pareto order. rows: (doc_id, text, source)."""
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x))
+    whole = [sum(n for n, r in zip(sizes, rows) if r[2] == x) for x in names]
+    out, expected = [0] * len(rows), [0.0] * len(rows)
+    for name, target in zip(names, filled(whole, [weights[i % len(weights)] for i in range(len(names))], budget * sum(whole), cap)):
+        own = [i for i, r in enumerate(rows) if r[2] == name]
+        w = {i: sizes[i].bit_length() or 1 for i in own}
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(cap, mid * w[i]) * sizes[i] for i in own) < target - 1e-9 else (low, mid)
+        queue, seen, rest = [], defaultdict(int), target
+        for i in own:
+            expected[i] = min(cap, high * w[i])
+            out[i] = int(expected[i] + 1e-7)
+            rest -= out[i] * sizes[i]
+            if (p := expected[i] - out[i]) > 1e-7:
+                seen[rows[i][0], sizes[i]] += 1
+                key = f"{seed}:{'null' if rows[i][0] is None else rows[i][0]}:{sizes[i]}:{seen[rows[i][0], sizes[i]]}"
+                u = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52
+                queue.append((u / (1 - u) / (p / (1 - p)), i))
+        before = 0
+        for _, i in sorted(queue):
+            out[i] += before + sizes[i] / 2 <= rest
+            before += sizes[i]
+    return out, expected
+
+
+def test_mix_equals_plain_python(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.pareto(1.1) * 30 + 1), "hot" if i % 3 == 0 else f"s{i % 5}" if i % 7 else None) for i in range(1500)]
+    rows += [(None, "of no id", "s1")] * 40 + [(7, "again and again", "s2")] * 30 + [(8, None, "s3"), (None, "", "s3")]
+    for weights, budget in (((3.0, 1.0, 2.0), 1.5), ((1.0, 8.0), 0.4)):
+        want, expected = plain_mix(rows, weights, budget, 2.0)
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, budget).collect()
+        key = lambda i, n, s, c: (str(i), n, str(s), c)
+        assert sorted(key(r.doc_id, r["size"], r.source, r.copies) for r in out) == sorted(key(i, len((t or "").split()), s, c) for (i, t, s), c in zip(rows, want))
+        assert sorted(r.expected for r in out) == pytest.approx(sorted(expected))
+
+
+def test_documents_are_taken_as_often_as_their_probability_says(spark):
+    """Over 30,000 documents of one source, in each length class."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(2 ** rng.uniform(0, 9)), "a" if i < 30_000 else "b") for i in range(60_000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 3.0), budget=0.5).toPandas()
+    own = out[out.source == "a"].groupby("expected").agg(n=("copies", "count"), mean=("copies", "mean")).reset_index()
+    assert len(own) >= 8 and own.expected.max() / own.expected.min() > 5
+    for expected, n, mean in own.itertuples(index=False):
+        p = expected % 1
+        assert abs(mean - expected) < 4 * (p * (1 - p) / n) ** 0.5 + 0.01
+    assert abs(out[out.source == "a"].taken.sum() / out[out.source == "a"].target.iloc[0] - 1) < 0.001
 
 
 def test_propensity_favours_documents(spark):
-    rows = [(i, "w w w w", "s", 9.0 if i % 2 else 1.0) for i in range(4000)] + [(4000 + i, "w " * 40, "t", 1.0) for i in range(400)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, p double"), weights=(1.0, 9.0), budget=0.6, propensity="p").toPandas()
+    rows = [(i, "w w w w", "s", 8.0 if i % 2 else 1.0) for i in range(4000)] + [(4000 + i, "w " * 40, "t", None) for i in range(400)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, p double"), weights=(1.0, 9.0), budget=0.4, propensity="p").toPandas()
     own = out[out.source == "s"]
     odd = own.doc_id % 2 == 1
-    assert own.copies[odd].mean() > 1.5 * own.copies[~odd].mean()
+    assert own.expected[odd].iloc[0] == pytest.approx(8 * own.expected[~odd].iloc[0]) and own.copies[odd].mean() == pytest.approx(8 * own.copies[~odd].mean(), rel=0.2)
+
+
+def test_many_rows_of_one_item(spark, monkeypatch):
+    """Rows of an item are numbered in parts, each with a random number of its own."""
+    monkeypatch.setattr(mixing, "NUMBERS", 100)
+    rows = [(None, "one two three", "s")] * 2500 + [(1, "w " * 9000, "t")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 3.0), budget=0.5).toPandas()
+    own = out[out.source == "s"]
+    assert len(own) == 2500 and abs(own.taken.sum() - own.target.iloc[0]) <= 3 and 0 < own.copies.sum() < 2500
 
 
 def test_mix_odd_rows(docs, no_docs):
