@@ -47,10 +47,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    docs = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each document as many times as the mix takes it.
+
+    The mix says how often rows of equal (id, source, size) are taken; where several share these, the first of them by
+    their texts' digests get one more than the others.
+    """
+    same = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null is a value here
+    key = [same("doc_id").alias("_id"), same("source").alias("_source"), F.col("size").alias("_size")]
+    taken = mixing.mix(docs).groupBy(*key).agg(F.count("*").alias("_rows"), F.min("copies").alias("_each"), F.sum("copies").alias("_all")).where("_all > 0")
+    rows = docs.select(*COLUMNS).withColumn("size", mixing.size_of("text")).withColumns(dict(zip(("_id", "_source", "_size"), key)))
+    rows = rows.join(taken, ["_id", "_source", "_size"])
+    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.when(F.col("_rows") > 1, F.md5(F.col("text").cast("binary"))), "lang", "n_chars"))
+    copies = F.col("_each") + F.when(turn <= F.col("_all") - F.col("_rows") * F.col("_each"), 1).otherwise(0)
+    rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
