@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordspark.sources.workdir import shared_dir
+
 
 def reliable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset (local tests), in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recordspark-"))
+    """A checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
