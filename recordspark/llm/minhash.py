@@ -26,7 +26,7 @@ fewer above).
 Defined results: null text and text without a word are never linked, each is its own class; repeated rows are copies and
 so in one class; an id with two texts can be in two classes; rows without an id but with a text are in classes too, whose
 class_id is null if none of their rows has an id; ties go to the smaller id; an empty table gives an empty result; further columns are ignored. Texts are
-used whole.
+used whole; ids are of any type that has an order.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ from .shared import checkpointed, slices, stored
 WIDTH, SIMILARITY = 5, 0.8
 SKETCHES, PICK, BANDS, ROWS_PER_BAND = 64, 2, 56, 4
 BLOCK, COLUMNS, SALTS = 128, 8192, 16
+MOST_ROUNDS = 100
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,7 +156,7 @@ def sketched(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(counts, pa.int64()), bands], ["doc_id", "sig", "n", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, sig binary, n long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary, n long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
@@ -181,12 +182,13 @@ def components(links: DataFrame) -> DataFrame:
     """links: (a, b). The least id of each linked id's component: (rep, root).
 
     Each round links every id to the least id in its neighbourhood (and the neighbours to it), until the links are stars
-    on roots; the number of rounds grows with the logarithm of the longest chain. A checkpoint ends each round.
+    on roots; the number of rounds grows with the logarithm of the longest chain (more than MOST_ROUNDS are an error). A
+    checkpoint ends each round.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first())  # noqa: E731  equal only for equal edges
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())  # noqa: E731  equal only for equal edges
     before = mark(edges)
-    while True:
+    for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # larger neighbours go to the least one
@@ -198,6 +200,7 @@ def components(links: DataFrame) -> DataFrame:
         if (now := mark(new)) == before:
             return new.select(F.col("u").alias("rep"), F.col("v").alias("root"))
         edges, before = new, now
+    raise RuntimeError(f"components aren't stars after {MOST_ROUNDS} rounds")
 
 
 def shared_counts(flat: np.ndarray, lengths: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -300,7 +303,7 @@ def digest(text_col: str = "text") -> F.Column:
 
 def classed(docs: DataFrame, similarity: float = SIMILARITY, exact_group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, sig (the text's digest), root (a number for its class; null without a word), class_id (the class's least id)."""
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = ids.select("doc_id", digest().alias("sig"), "text")
     base = stored(sketched(rows), "sketches")
     found = base.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))

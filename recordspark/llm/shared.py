@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordspark.sources.workdir import remove, removed_at_exit, shared_dir
 
+#: Paths of the tables that stored() has written and nothing has deleted.
+MADE: list[str] = []
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -27,27 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a temporary one that is set for the session."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    now = sc.getCheckpointDir()
-    if now is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recordspark-"))
-        now = sc.getCheckpointDir()
-    return now.rsplit("/", 1)[0]  # setCheckpointDir adds a folder of its own
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, which cuts lineage and survives lost executors."""
+    """Writes df as a Parquet table in the shared folder and reads it back, which cuts lineage and survives lost executors.
+    The table goes when the driver ends, or with dropped()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    MADE.append(removed_at_exit(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that were stored() since MADE had so many, once nothing reads them any more."""
+    while len(MADE) > since:
+        remove(spark, MADE.pop())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -354,6 +354,34 @@ def test_shared_counts(monkeypatch):
     assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in own[5:]] for a in own[:5]]
 
 
+def test_ids_of_any_kind(spark):
+    """Texts as ids, and numbers whose sum is no number of 64 bits."""
+    texts = [f"{'one two three four five six seven eight nine ten ' * 3}{'' if i < 6 else i}" for i in range(8)] + ["something else"]
+    for ids in ([f"doc-{i}" for i in range(9)], [2**62 + i for i in range(9)], [-(2**62) - i for i in range(9)]):
+        kind = "string" if isinstance(ids[0], str) else "long"
+        out = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")).collect()}
+        assert out == {i: min(ids[:8]) for i in ids[:8]} | {ids[8]: ids[8]}
+    far = [(2**62 + i, 2**62 + i + 1) for i in range(6)]
+    assert {r.rep: r.root for r in minhash.components(spark.createDataFrame(far, "a long, b long")).collect()} == {2**62 + i: 2**62 for i in range(1, 7)}
+
+
+def test_a_band_key_of_thousands_of_unlike_texts(spark):
+    """Each pair meets in some pair of blocks, those of the most frequent root only with others; 30 alike pairs are found, no other."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(30)]
+    texts = [" ".join(passage + [word() for _ in range(25)]) for _ in range(5000)]
+    alike = {(rnd.randrange(2500), 2500 + i) for i in rnd.sample(range(2500), 30)}
+    for a, b in alike:
+        texts[b] = texts[a] + " " + word()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rep long, text string")
+    root = [i for i in range(5000)]
+    root[10:200] = [10] * 190  # one component holds many of them already
+    members = spark.createDataFrame([(77, i, r) for i, r in enumerate(root)], "key long, rep long, root long")
+    found = minhash.links_in_blocks(members, minhash.several_roots(members), df, 0.8).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in found} == {x for x in alike if root[x[0]] != root[x[1]]}
+
+
 def test_near_duplicates_odd_rows(docs, no_docs):
     got = collections.Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect())
     assert got == {(1, 1): 1, (6, 1): 2, (None, None): 1, **{(i, i): 1 for i in (2, 3, 4, 5, 7, 8, 9, 10)}}
