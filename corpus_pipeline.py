@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from recordspark.llm import bpe, langid, minhash, mixing
 from recordspark.llm.queries import tokenizer_path
-from recordspark.llm.shared import importable, shared_dir, table
+from recordspark.llm.shared import MADE, dropped, importable, table
+from recordspark.sources.workdir import remove, removed_at_exit, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document in which no language holds this share is rejected, as is one without a letter.
@@ -38,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = classes.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.sig")
     kept = kept.unionByName(classes.where("root is null").select("doc_id", "sig").distinct()).select(F.col("doc_id").alias("kept_id"), F.col("sig").alias("kept_sig"), F.lit(True).alias("kept"))
     wordless = classes.where("root is null and doc_id is null").select(F.col("sig").alias("kept_sig")).distinct().withColumn("every", F.lit(True))
-    rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("own_id"), minhash.digest().alias("sig"))
+    rows = docs.select(*COLUMNS, F.col("doc_id").alias("own_id"), minhash.digest().alias("sig"))
     rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & F.col("sig").eqNullSafe(F.col("kept_sig"))).drop("kept_sig")
     rows = rows.join(wordless, F.col("own_id").isNull() & rows.sig.eqNullSafe(wordless.kept_sig), "left")
     # Of rows that repeat the one whose other columns come first.
@@ -75,8 +76,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages one after another. What a stage stored on its way, and the rows it read, are deleted when it is written;
+    the last stage's rows when the driver ends."""
+    docs, at, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    removed_at_exit(spark, at)
     for name, stage in STAGES:
+        made = len(MADE)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
+        dropped(spark, made)
+        if last:
+            remove(spark, last)
+        last = f"{at}/{name}"
+        docs = spark.read.parquet(last)
     return docs
