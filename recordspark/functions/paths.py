@@ -84,6 +84,27 @@ def literal_key(value: Any) -> Column:
     return F.struct(F.lit(tag).cast("int").alias("tag"), *[F.lit(content.get(k) if k != "u" or k not in content else str(content[k])).cast(t).alias(k) for k, t in kinds.items()])
 
 
+def may_equal(doc: Column, path: str, value: Any) -> Column | None:
+    """A cheap condition on the JSON text that holds wherever the value at the path equals this one; None if there is none."""
+    raw = raw_text(doc, path)
+    if isinstance(value, bool):
+        return raw == ("true" if value else "false")
+    if isinstance(value, str):
+        return raw == value
+    if isinstance(value, int):
+        return raw.try_cast("bigint") == value if -(1 << 63) <= value < 1 << 63 else raw.isNotNull()
+    return raw.isNotNull() if isinstance(value, float) else None
+
+
+def may_be_between(doc: Column, path: str, low: Any, high: Any) -> Column | None:
+    """As may_equal, of low <= value < high: between two integers are integers only, between two strings strings."""
+    raw = raw_text(doc, path)
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and -(1 << 63) <= x < 1 << 63
+    if whole(low) and whole(high):
+        return raw.try_cast("bigint").between(low, high)
+    return (raw >= low) & (raw < high) if isinstance(low, str) and isinstance(high, str) else None
+
+
 def pk_text(value: Any) -> str:
     """A primary key as text: 10 sorts before 2."""
     if isinstance(value, bool):

@@ -67,7 +67,16 @@ class Documents:
         """An explicit null equals null; what is missing equals nothing (a typed column can't tell the two apart)."""
         if value is None and self.doc is None:
             return F.col(path).isNull()
-        return self.key(path) == self.literal(value)
+        exact = self.key(path) == self.literal(value)
+        first = None if self.doc is None else paths.may_equal(F.col(self.doc), path, value)
+        return exact if first is None else F.coalesce(first, F.lit(False)) & exact  # most rows end at the cheap one
+
+    def between(self, path: str, low: Any, high: Any) -> Column:
+        """low <= value < high."""
+        k = self.key(path)
+        exact = (k >= self.literal(low)) & (k < self.literal(high))
+        first = None if self.doc is None else paths.may_be_between(F.col(self.doc), path, low, high)
+        return exact if first is None else F.coalesce(first, F.lit(False)) & exact
 
     def with_df(self, df: DataFrame) -> Documents:
         return replace(self, df=df)
@@ -167,27 +176,46 @@ class Documents:
         if direction.unique:
             w = Window.partitionBy(self.pk).orderBy(F.lit(0))
             rows = rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
-        pk = F.col(self.pk)
-        return Cursor(rows, (pk.desc() if direction.down else pk.asc(),))
+        return Cursor(rows, (self.pk,), direction.down)
 
     def index_cursor(self, index: str, at: KeyRange | None = None, direction: Direction = Direction.NEXT, unique_on: str = "pk") -> Cursor:
         """Rows have the index keys in _k0, _k1, ... unique_on: "pk" (a document shows once) or "index_key"."""
         rows = self.index_in(index, at)
         names = [c for c in rows.columns if c.startswith("_k")]
-        order = tuple(F.col(n).desc() if direction.down else F.col(n).asc() for n in (*names, self.pk))
+        cursor = Cursor(rows, (*names, self.pk), direction.down)
         if direction.unique:
-            first = Window.partitionBy(*([self.pk] if unique_on == "pk" else names)).orderBy(*order)
-            rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-        return Cursor(rows, order)
+            first = Window.partitionBy(*([self.pk] if unique_on == "pk" else names)).orderBy(*cursor.order)
+            cursor.rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+        return cursor
+
+
+def literal_of(value: Any, kind: T.DataType) -> Column:
+    """A value of a row, structs too, as a literal of its type."""
+    if value is not None and isinstance(kind, T.StructType):
+        return F.struct(*[literal_of(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)
 
 
 @dataclass
 class Cursor:
-    """An ordered result and a place in it."""
+    """An ordered result and a place in it.
+
+    What comes next is read by key: the rows after the last one that was fetched, of which a page is a top-k. So a walk over
+    n rows costs n / `page` reads, each of which the scan can filter by key, not n sorts of everything.
+    """
 
     rows: DataFrame
-    order: tuple[Column, ...]
-    at: int = 0
+    by: tuple[str, ...]  # the columns of the order
+    down: bool = False
+    page: int = 1000
+    at: int = 0  # rows before the place
+    last: tuple | None = None  # the order's values of the last row that fetch() gave
+    skip: int = 0  # rows that advance() has passed since
+    ahead: list = field(default_factory=list)  # read after `last`, not given yet
+
+    @property
+    def order(self) -> tuple[Column, ...]:
+        return tuple(F.col(c).desc() if self.down else F.col(c).asc() for c in self.by)
 
     def to_df(self) -> DataFrame:
         return self.rows.orderBy(*self.order)
@@ -195,15 +223,45 @@ class Cursor:
     def with_ordinals(self) -> DataFrame:
         return with_ordinals(self.rows, *self.order)
 
+    def after_last(self) -> DataFrame:
+        if self.last is None:
+            return self.rows
+        later = F.lit(False)
+        for name, value in reversed(list(zip(self.by, self.last))):
+            c, v = F.col(name), literal_of(value, self.rows.schema[name].dataType)
+            # nulls come first upwards and last downwards
+            beyond = (c.isNull() if self.down else F.lit(False)) | F.coalesce(c < v if self.down else c > v, F.lit(False)) if value is not None else (F.lit(False) if self.down else c.isNotNull())
+            later = beyond | (c.eqNullSafe(v) & later)
+        return self.rows.where(later)
+
     def advance(self, n: int) -> DataFrame:
-        """Skips n rows and gives the next (no row at the end)."""
-        out = self.to_df().offset(self.at + n).limit(1)
-        self.at += n + 1
+        """Skips n rows and gives the next (no row at the end), lazily."""
+        out = self.after_last().orderBy(*self.order).offset(self.skip + n).limit(1)
+        self.skip, self.at, self.ahead = self.skip + n + 1, self.at + n + 1, []
         return out
 
     def next_value(self) -> DataFrame:
         return self.advance(0)
 
+    def fetch(self, n: int) -> list:
+        """The next n rows (fewer at the end); whole pages are read ahead."""
+        out: list = []
+        while len(out) < n:
+            if not self.ahead:
+                self.ahead = self.after_last().orderBy(*self.order).offset(self.skip).limit(max(self.page, n - len(out))).collect()
+                if not self.ahead:
+                    break
+            part = self.ahead[: n - len(out)]
+            self.ahead = self.ahead[len(part) :]
+            self.last, self.skip = tuple(part[-1][c] for c in self.by), 0
+            out += part
+        self.at += len(out)
+        return out
+
+    def __iter__(self):
+        while row := self.fetch(1):
+            yield row[0]
+
     def current(self) -> DataFrame:
         """The row given last, without moving."""
         return self.to_df().offset(max(0, self.at - 1)).limit(1 if self.at else 0)
@@ -231,8 +289,7 @@ class QueryBuilder:
 
     def where_range(self, path: str, low: Any, high: Any) -> QueryBuilder:
         """low <= value < high."""
-        k = self.docs.key(path)
-        return self._and((k >= self.docs.literal(low)) & (k < self.docs.literal(high)))
+        return self._and(self.docs.between(path, low, high))
 
     def where_in(self, path: str, values: list[Any]) -> QueryBuilder:
         return self._and(reduce(lambda a, b: a | b, [self.docs.equals(path, v) for v in values]) if values else F.lit(False))

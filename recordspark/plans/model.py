@@ -51,7 +51,7 @@ class Closed(EngineError): ...
 class Op(IntEnum):
     PUT = 0
     DELETE = 1  # one (key, ts)
-    DELETE_RANGE = 2  # keys in [key, range_end), at all ts
+    DELETE_RANGE = 2  # keys in [key, range_end), at all ts; without a range_end all from key on
 
 
 def record_schema(key: T.DataType = T.StringType()) -> T.StructType:
@@ -285,6 +285,7 @@ class Config:
     manifest_snapshot_every: int = 500
     max_broadcast_ranges: int = 10_000
     max_broadcast_rows: int = 100_000  # newer entries whose keys are broadcast against a merged part
+    max_broadcast_bytes: int = 16 << 20  # of such entries' files, and of range tombstones
     extra: dict = field(default_factory=dict)
 
     def validate(self) -> Config:
@@ -299,5 +300,5 @@ class Config:
         need(self.compression_level is None or 1 <= self.compression_level <= 22, "compression_level must be from 1 to 22")
         need(self.ts_bucket_us is None or self.ts_bucket_us > 0, "ts_bucket_us must be above 0")
         need(self.manifest_snapshot_every >= 1, "manifest_snapshot_every must be at least 1")
-        need(self.max_broadcast_ranges >= 0, "max_broadcast_ranges can't be below 0")
+        need(min(self.max_broadcast_ranges, self.max_broadcast_rows, self.max_broadcast_bytes) >= 0, "bounds of what is broadcast can't be below 0")
         return self

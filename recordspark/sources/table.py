@@ -2,15 +2,18 @@
 
 Each batch is written by Spark as one folder, then published by one manifest version: readers see all of it or none, and
 a batch that a crash cut off is never listed. seq is given by an explicit ordinal within the batch on top of the highest
-seq, which the manifest keeps. Range tombstones are counted for each part, so that reads open only parts that have some.
+seq, which the manifest keeps. Range tombstones are counted for each part, so that reads open only parts that have some,
+and no job runs to look for them where there are none.
 """
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,8 +22,31 @@ from pyspark.sql import types as T
 
 from recordspark.functions.paths import with_ttl
 from recordspark.operators import records
-from recordspark.plans.model import NEVER, Config, InvalidArgument, NotFound, Op, ScanRange, changelog_schema
-from recordspark.sources.manifest import Files, Manifest, Part, Version
+from recordspark.plans.model import NEVER, Config, InvalidArgument, NotFound, Op, ScanRange, TransactionConflict, changelog_schema
+from recordspark.sources.manifest import Files, Manifest, Part, StoreManifest, Version
+
+
+class Latency:
+    """How long operations took: counts by power-of-two steps of a quarter, in microseconds, so that percentiles need no samples."""
+
+    STEPS = 4  # to a doubling
+
+    def __init__(self):
+        self.counts: dict[int, int] = {}
+        self.n, self.total_us = 0, 0
+
+    def add(self, us: float) -> None:
+        at = max(0, math.ceil(self.STEPS * math.log2(max(1.0, us))))
+        self.counts[at] = self.counts.get(at, 0) + 1
+        self.n, self.total_us = self.n + 1, self.total_us + us
+
+    def percentile(self, q: float) -> float:
+        """An upper bound, less than a fifth above the value; 0 before the first operation."""
+        left = max(1, math.ceil(q * self.n))
+        for at in sorted(self.counts):
+            if (left := left - self.counts[at]) <= 0:
+                return 2.0 ** (at / self.STEPS)
+        return 0.0
 
 
 @dataclass
@@ -28,29 +54,72 @@ class Stats:
     records_written: int = 0
     records_read: int = 0
     records_deleted: int = 0
+    bytes_written: int = 0
+    bytes_compacted_in: int = 0
+    bytes_compacted_out: int = 0
     batches: int = 0
+    queries: int = 0
+    point_reads: int = 0
     compactions: int = 0
+    gc_runs: int = 0
     records_purged: int = 0
+    conflicts: int = 0
     last_write_us: int = 0
     last_compaction_us: int = 0
     last_gc_us: int = 0
+    #: Of what the newest version holds, when it was last looked at.
+    parts: int = 0
+    live_bytes: int = 0
+    live_entries: int = 0
+    tombstones: int = 0
+    latency: dict[str, Latency] = field(default_factory=lambda: {x: Latency() for x in ("write", "read", "compaction", "gc")})
+
+    GAUGES = ("parts", "live_bytes", "live_entries", "tombstones")
+
+    @contextmanager
+    def timed(self, what: str) -> Iterator[None]:
+        began = time.perf_counter()
+        yield
+        self.latency[what].add((time.perf_counter() - began) * 1e6)
+
+    def looked_at(self, version: Version) -> None:
+        p = version.parts
+        self.parts, self.live_bytes, self.live_entries, self.tombstones = len(p), sum(x.bytes for x in p), sum(x.rows for x in p), sum(x.tombstones for x in p)
+
+    def ratios(self) -> dict[str, float]:
+        """Bytes written in all for each byte that came in; tombstones' share of entries; bytes that compaction leaves."""
+        share = lambda a, b: a / b if b else 0.0
+        return {
+            "write_amplification": share(self.bytes_written + self.bytes_compacted_out, self.bytes_written), "tombstone_ratio": share(self.tombstones, self.live_entries),
+            "compaction_ratio": share(self.bytes_compacted_out, self.bytes_compacted_in),
+        }
 
     def metrics_text(self, prefix: str = "recordspark") -> str:
         """In Prometheus's text form."""
-        return "".join(f"# TYPE {prefix}_{k} {'gauge' if k.startswith('last_') else 'counter'}\n{prefix}_{k} {v}\n" for k, v in asdict(self).items())
+        plain = {k: v for k, v in vars(self).items() if k != "latency"}
+        lines = [f"# TYPE {prefix}_{k} {'gauge' if k.startswith('last_') or k in self.GAUGES else 'counter'}\n{prefix}_{k} {v}\n" for k, v in plain.items()]
+        lines += [f"# TYPE {prefix}_{k} gauge\n{prefix}_{k} {v:.6g}\n" for k, v in self.ratios().items()]
+        for what, x in self.latency.items():
+            name = f"{prefix}_{what}_latency_us"
+            lines.append(f"# TYPE {name} summary\n" + "".join(f'{name}{{quantile="{q}"}} {x.percentile(q):.6g}\n' for q in (0.5, 0.9, 0.99)) + f"{name}_sum {x.total_us:.6g}\n{name}_count {x.n}\n")
+        return "".join(lines)
 
 
 class RecordTable:
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, key_type: T.DataType | None = None, clock=lambda: time.time_ns() // 1000):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, key_type: T.DataType | None = None, clock=lambda: time.time_ns() // 1000, manifest: StoreManifest | None = None):
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
         self.config = (config or Config()).validate()
         self.schema = changelog_schema(key_type or T.StringType())
         self.files = Files(spark, path)
-        self.manifest = Manifest(self.files)
+        self.manifest = manifest or Manifest(self.files)
         self.stats = Stats()
 
     # Reading
 
+    @property
+    def bounds(self) -> tuple[int, int]:
+        return self.config.max_broadcast_ranges, self.config.max_broadcast_bytes
+
     @property
     def last_seq(self) -> int:
         return self.manifest.current().last_seq
@@ -60,14 +129,15 @@ class RecordTable:
         return self.read_parts([p for p in version.parts if p.ranges or not ranges_only])
 
     def read_parts(self, parts: list[Part]) -> DataFrame:
-        paths = [f"{self.path}/{p.path}" for p in parts]
-        if not self.config.ts_bucket_us:
-            return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-        schema = T.StructType([*self.schema.fields, T.StructField("ts_bucket", T.LongType())])
-        out = self.spark.createDataFrame([], schema)  # each part is partitioned by itself
-        for p in paths:
-            out = out.unionByName(self.spark.read.schema(schema).parquet(p))
-        return out
+        schema = self.schema
+        if self.config.ts_bucket_us:
+            schema = T.StructType([*schema.fields, T.StructField("ts_bucket", T.LongType()), T.StructField("part", T.StringType())])
+        if not parts:
+            return self.spark.createDataFrame([], schema).drop("part")
+        read = self.spark.read.schema(schema)
+        if self.config.ts_bucket_us:  # the buckets, and the parts' names, are in the paths
+            read = read.option("basePath", f"{self.path}/data")
+        return read.parquet(*[f"{self.path}/{p.path}" for p in parts]).drop("part")
 
     def scan(self, at: ScanRange | None = None, snapshot_seq: int | None = None, now_us: int | None = None, version: Version | None = None) -> DataFrame:
         """The live versions, lazily: key, ts, expire_at, value, seq."""
@@ -76,7 +146,7 @@ class RecordTable:
         now = self.clock() if now_us is None else now_us
         tail = self.after_merged(version, snapshot_seq)
         if tail is None:
-            live = records.visible(self.log(version), now, snapshot_seq, where, self.log(version, ranges_only=True), self.config.max_broadcast_ranges)
+            live = records.visible(self.log(version), now, snapshot_seq, where, self.log(version, ranges_only=True), *self.bounds, known=sum(p.ranges for p in version.parts))
             return live.select(*records.RECORD, "seq")
         # The merged part holds one version of each (key, ts): it is filtered as it is read, without a shuffle of its rows.
         base = self.read_parts([p for p in version.parts if p.merged]).where(where).where(F.col("expire_at") > F.lit(now))
@@ -85,14 +155,13 @@ class RecordTable:
         newer = self.read_parts(tail).where(where)
         newer = newer if snapshot_seq is None else newer.where(F.col("seq") <= snapshot_seq)
         changed = newer.where(F.col("op") != Op.DELETE_RANGE).select("key", "ts").distinct()
-        if sum(p.rows for p in tail) <= self.config.max_broadcast_rows:
+        if sum(p.rows for p in tail) <= self.config.max_broadcast_rows and sum(p.bytes for p in tail) <= self.config.max_broadcast_bytes:
             changed = F.broadcast(changed)
         ranges = self.read_parts([p for p in tail if p.ranges])
-        hidden = ranges.where(F.col("op") == Op.DELETE_RANGE)
-        hidden = hidden if snapshot_seq is None else hidden.where(F.col("seq") <= snapshot_seq)
+        known = sum(p.ranges for p in tail)
         base = base.join(changed, ["key", "ts"], "left_anti")
-        base = records.without_ranges(base, hidden.select(F.col("key").alias("low"), F.col("range_end").alias("high"), F.col("seq").alias("at")), self.config.max_broadcast_ranges)
-        live = records.visible(self.read_parts(tail), now, snapshot_seq, where, ranges, self.config.max_broadcast_ranges)
+        base = records.without_ranges(base, records.tombstones(ranges, snapshot_seq), *self.bounds, known=known)
+        live = records.visible(self.read_parts(tail), now, snapshot_seq, where, ranges, *self.bounds, known=known)
         return base.select(*records.RECORD, "seq").unionByName(live.select(*records.RECORD, "seq"))
 
     @staticmethod
@@ -105,15 +174,24 @@ class RecordTable:
         return rest if all(p.min_seq > merged[0].max_seq for p in rest) else None
 
     def query(self, at: ScanRange, now_us: int | None = None) -> list[Row]:
-        out = records.in_order(self.scan(at, now_us=now_us)).collect()
+        with self.stats.timed("read"):
+            out = records.in_order(self.scan(at, now_us=now_us)).collect()
+        self.stats.queries += 1
         self.stats.records_read += len(out)
         return out
 
     def get(self, key: Any, ts: int, snapshot_seq: int | None = None, now_us: int | None = None) -> Row | None:
-        return self.scan(ScanRange.key_time_range(key, key, ts, ts), snapshot_seq, now_us).first()
+        return self._one(self.scan(ScanRange.key_time_range(key, key, ts, ts), snapshot_seq, now_us))
 
     def get_latest(self, key: Any, now_us: int | None = None) -> Row | None:
-        return records.latest(self.scan(ScanRange.key_range(key, key), now_us=now_us)).first()
+        return self._one(records.latest(self.scan(ScanRange.key_range(key, key), now_us=now_us)))
+
+    def _one(self, rows: DataFrame) -> Row | None:
+        with self.stats.timed("read"):
+            row = rows.first()
+        self.stats.point_reads += 1
+        self.stats.records_read += row is not None
+        return row
 
     def latest(self, at: ScanRange | None = None, now_us: int | None = None) -> DataFrame:
         return records.latest(self.scan(at, now_us=now_us))
@@ -123,20 +201,37 @@ class RecordTable:
     def append(self, entries: DataFrame, base: Version | None = None, state: dict | None = None) -> Version:
         """entries: key, ts, expire_at, value, op, range_end and ordinal (1, 2, ... in the order of the batch)."""
         base = base or self.manifest.current()
+        with self.stats.timed("write"):
+            new = self.staged(entries, base, state)
+            try:
+                new = self.manifest.publish(base, new)
+            except TransactionConflict:
+                self.stats.conflicts += 1
+                raise
+        self.published(base, new)
+        return new
+
+    def staged(self, entries: DataFrame, base: Version, state: dict | None = None) -> Version:
+        """Writes the entries' part; the version that would have it on top of base, not yet published."""
         rows = entries.withColumn("seq", (F.col("ordinal") + F.lit(base.last_seq)).cast("long"))
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         part = self._write(rows)
-        new = self.manifest.commit(base, last_seq=max(base.last_seq, part.max_seq), parts=(*base.parts, part) if part.rows else base.parts, state=base.state if state is None else state)
+        return replace(base, number=base.number + 1, last_seq=max(base.last_seq, part.max_seq), parts=(*base.parts, part) if part.rows else base.parts, state=base.state if state is None else state)
+
+    def published(self, base: Version, new: Version) -> None:
+        """What follows a commit: counters, and a shorter log now and then."""
+        own = [p for p in new.parts if p not in base.parts]
         self.stats.batches += 1
-        self.stats.records_written += part.rows
-        self.stats.records_deleted += part.tombstones
+        self.stats.records_written += sum(p.rows for p in own)
+        self.stats.records_deleted += sum(p.tombstones for p in own)
+        self.stats.bytes_written += sum(p.bytes for p in own)
         self.stats.last_write_us = self.clock()
+        self.stats.looked_at(new)
         if new.number % self.config.manifest_snapshot_every == 0:
             self.manifest.snapshot(keep=2)
-        return new
 
     def _write(self, rows: DataFrame, merged: bool = False) -> Part:
-        name = f"data/{uuid.uuid4().hex}"
+        name = f"data/part={uuid.uuid4().hex}"
         writer = rows
         if self.config.ts_bucket_us:
             writer = rows.withColumn("ts_bucket", F.floor(F.col("ts") / F.lit(self.config.ts_bucket_us)).cast("long"))
@@ -176,7 +271,7 @@ class RecordTable:
         return self.append(self.entries((Op.DELETE, k, ts, NEVER, None, None) for k, ts in keys))
 
     def delete_range(self, start: Any, end: Any) -> Version:
-        """Hides the keys in [start, end) at all ts; later puts show again."""
+        """Hides the keys in [start, end), or all from start on if end is None, at all ts; later puts show again."""
         return self.append(self.entries([(Op.DELETE_RANGE, start, 0, NEVER, None, end)]))
 
     def patch_record(self, key: Any, ts: int, value: bytes | None = None, ttl_s: int | None = None) -> Version:
@@ -206,29 +301,36 @@ class RecordTable:
         chosen = self.picked(base)
         if not chosen:
             return False
+        with self.stats.timed("compaction"):
+            self._compact(base, chosen)
+        return True
+
+    def _compact(self, base: Version, chosen: list[Part]) -> None:
         rows = self.read_parts(chosen).select(*self.schema.names)
         newest_seq = max(p.max_seq for p in chosen)
         whole = all(p in chosen for p in base.parts if p.min_seq <= newest_seq)
-        ranges = rows.where(F.col("op") == Op.DELETE_RANGE)
         points = records.newest(rows.where(F.col("op") != Op.DELETE_RANGE))
-        covered = records.without_ranges(points, ranges.select(F.col("key").alias("low"), F.col("range_end").alias("high"), F.col("seq").alias("at")), self.config.max_broadcast_ranges)
-        merged = covered.where(F.col("op") == Op.PUT) if whole else covered.unionByName(ranges)
+        covered = records.without_ranges(points, records.tombstones(rows), *self.bounds, known=sum(p.ranges for p in chosen))
+        merged = covered.where(F.col("op") == Op.PUT) if whole else covered.unionByName(rows.where(F.col("op") == Op.DELETE_RANGE))
         n = max(1, sum(p.bytes for p in chosen) // (128 << 20))
         part = self._write(merged.repartitionByRange(n, "key").sortWithinPartitions("key", "ts"), merged=whole)
         # Readers of an older version still need the old folders; vacuum() removes them later.
         kept = tuple(p for p in base.parts if p not in chosen)
-        self.manifest.commit(base, parts=(*kept, part) if part.rows else kept)
+        self.stats.looked_at(self.manifest.commit(base, parts=(*kept, part) if part.rows else kept))
         self.stats.compactions += 1
+        self.stats.bytes_compacted_in += sum(p.bytes for p in chosen)
+        self.stats.bytes_compacted_out += part.bytes
         self.stats.last_compaction_us = self.clock()
-        return True
 
     def gc(self, now_us: int | None = None) -> int:
         """Drops whole parts whose every record has expired; parts with tombstones stay. Returns the records dropped."""
         now, base = self.clock() if now_us is None else now_us, self.manifest.current()
-        gone = [p for p in base.parts if p.max_expire < now and not p.tombstones and self._newest_everywhere(p, base)]
-        if gone:
-            self.manifest.commit(base, parts=tuple(p for p in base.parts if p not in gone))
+        with self.stats.timed("gc"):
+            gone = [p for p in base.parts if p.max_expire < now and not p.tombstones and self._newest_everywhere(p, base)]
+            if gone:
+                self.stats.looked_at(self.manifest.commit(base, parts=tuple(p for p in base.parts if p not in gone)))
         purged = sum(p.rows for p in gone)
+        self.stats.gc_runs += 1
         self.stats.records_purged += purged
         self.stats.last_gc_us = self.clock()
         return purged
@@ -243,7 +345,7 @@ class RecordTable:
     def vacuum(self, keep_versions: int = 1) -> int:
         """Removes old versions and the data folders that no kept version names; returns how many folders."""
         self.manifest.snapshot(keep_versions)
-        named = {p.path for n in self.files.list(Manifest.FOLDER) for p in self.manifest.current(int(n[:20])).parts}
+        named = {p.path for v in self.manifest.versions() for p in v.parts}
         gone = [f"data/{x}" for x in self.files.list("data") if f"data/{x}" not in named]
         for x in gone:
             self.files.delete(x)

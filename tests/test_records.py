@@ -1,8 +1,10 @@
 """visible() against a model in plain Python, and the decisions on single points."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordspark.operators import records
 from recordspark.plans.model import NEVER, Bound, Op, ScanRange, changelog_schema
@@ -121,3 +123,23 @@ def test_empty_log(spark):
 def test_time_buckets_round_toward_zero(spark):
     got = {r.bucket: r.n for r in records.time_buckets(log_of(spark, [put("a", -5), put("b", 5), put("c", 15)]), 10).collect()}
     assert got == {0: 2, 1: 1}
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
+def test_many_ranges_over_keys_with_one_head(spark, max_bytes):
+    """Against every pair, with ranges that nest, overlap, touch, cover nothing, or have no end."""
+    rnd = random.Random(3)
+    key = lambda: f"user:{rnd.randint(0, 3000):05d}"
+    rows = [(key(), rnd.randint(0, 1000)) for _ in range(4000)]
+    ranges = [(key(), key() if rnd.random() < 0.995 else None, rnd.randint(0, 200)) for _ in range(300)] + [("user:00010", "user:00010", 999), ("user:02990", None, 500), ("", "user:00020", 700)]
+    want = sorted(r for r in rows if not any(a <= r[0] and (b is None or r[0] < b) and at > r[1] for a, b, at in ranges))
+    df, spans = spark.createDataFrame(rows, "key string, seq long"), spark.createDataFrame(ranges, "low string, high string, at long")
+    out = records.without_ranges(df, spans, max_broadcast=10, max_bytes=max_bytes)
+    assert sorted(map(tuple, out.collect())) == want and 0 < len(want) < len(rows)
+    assert sorted(map(tuple, records.without_ranges(df, spans).collect())) == want
+    assert not re.search("CartesianProduct|NestedLoop", out._jdf.queryExecution().toString())
+
+
+def test_no_job_looks_for_ranges_that_a_manifest_denies(spark):
+    df = spark.createDataFrame([("a", 1)], "key string, seq long")
+    assert records.without_ranges(df, df.where(F.raise_error(F.lit("read")).isNotNull()), known=0) is df

@@ -3,7 +3,8 @@
 import pytest
 
 from recordspark.plans.model import NEVER, Config, InvalidArgument, NotFound, ScanRange, TransactionConflict
-from recordspark.sources.table import RecordTable
+from recordspark.sources.manifest import Files
+from recordspark.sources.table import Latency, RecordTable
 
 V = b"\1\2\3"
 
@@ -108,6 +109,33 @@ def test_a_commit_that_was_cut_off_never_was(table):
     with open(f"{table.path}/_manifest/{2:020d}.json", "w") as f:
         f.write('{"number": 2, "last')
     assert keys(table) == [("a", 1)]
+    assert table.write_batch([("b", 1, V)]).number == 3 and keys(table) == [("a", 1), ("b", 1)]
+    table.write_batch([("c", 1, V)])
+    assert keys(RecordTable(table.spark, table.path, clock=lambda: 0)) == [("a", 1), ("b", 1), ("c", 1)]
+    assert table.vacuum() == 0 and len(keys(table)) == 3
+
+
+def test_manifests_on_a_store_of_hadoop(spark, tmp_path):
+    """As on a path that only Hadoop's file systems read: files appear whole, and never in place of another."""
+    files = Files(spark, f"file://{tmp_path}/h")
+    files.local = None
+    assert files.create("x/1.json", "{}") and not files.create("x/1.json", "[]") and files.read("x/1.json") == "{}"
+    assert files.list("x") == [n for n in files.list("x") if n in ("1.json", ".1.json.crc")] and files.list("none") == []
+    table = RecordTable(spark, f"file://{tmp_path}/h/t", clock=lambda: 0)
+    table.files.local = None
+    table.write_batch([("a", 1, V)])
+    base = table.manifest.current()
+    table.write_batch([("é", 1, V)])
+    with pytest.raises(TransactionConflict):
+        table.append(table.entries([(0, "c", 1, NEVER, V, None)]), base)
+    assert keys(table) == [("a", 1), ("é", 1)]
+
+
+def test_a_range_without_an_end(table):
+    table.write_batch([("a", 1, V), ("b", 1, V), ("\U0010ffff", 1, V)])
+    table.delete_range("b", None)
+    assert keys(table) == [("a", 1)]
+    assert table.compact() and keys(table) == [("a", 1)]
 
 
 def test_time_partitions_are_pruned(spark, tmp_path):
@@ -132,6 +160,21 @@ def test_stats(table):
     assert table.stats.records_written == 2 and table.stats.records_read == 2
     assert "recordspark_records_written 2" in table.stats.metrics_text()
     assert table.part_stats().first()["rows"] == 2 and table.maintain(0)["purged"] == 0
+    table.write_batch([("a", 1, V)])
+    table.delete_batch([("b", 1)])
+    assert table.compact()
+    s = table.stats
+    assert (s.queries, s.batches, s.records_deleted, s.parts, s.live_entries) == (1, 3, 1, 1, 1) and s.bytes_written > s.live_bytes > 0
+    assert s.latency["write"].n == 3 and 0 < s.latency["write"].percentile(0.5) <= s.latency["write"].percentile(0.99)
+    assert s.ratios()["write_amplification"] > 1 and 'recordspark_read_latency_us{quantile="0.9"}' in s.metrics_text()
+
+
+def test_latency_percentiles_are_near_the_values():
+    x = Latency()
+    for v in range(1, 10_001):
+        x.add(v)
+    for q in (0.5, 0.9, 0.99):
+        assert 10_000 * q <= x.percentile(q) <= 10_000 * q * 1.2
 
 
 def test_scans_of_a_merged_table(table, spark):
