@@ -7,27 +7,32 @@ bound; the leaves with the least bounds are searched first, then each leaf whose
 the query's distance to its k-th found. Factor 1 is exact search; a larger one prunes more and may miss some.
 A query keeps SPARE vectors beyond the k-th; where they all tie with it, within rounding, its leaves are searched again
 for every vector that reaches the k-th score, so that the smaller ids win however many tie.
-Scores are then computed anew in double precision from the original vectors.
+Trees and bounds are made of the vectors scaled by a power of two, which changes no order; scores are computed from the
+original vectors in double precision, component after component.
 
-At scale: vectors are dealt to shards of about `shard_rows` by a hash of their id, queries to blocks of `block_rows`,
-and each pair of a shard and a block is one bounded unit of work (a packed tree of some MB and a packed block), so work
-is spread evenly and memory doesn't depend on the table. Copies of a vector collapse within a shard to their k + 1
-smallest ids, which loses nothing as ties go to the smaller id. A query's k nearest of each shard then meet in a window
-that Spark limits on the map side.
+At scale: vectors are dealt to shards of at most `most_bytes`, a query goes to each shard. A shard and the queries meet in
+one stream, sorted so that the shard's vectors come first: each vector moves once, the tree is built where it is searched,
+and the queries are searched in blocks of `block_rows` as they stream past, so a task holds a shard, its tree and a block,
+whatever the table's size. Rows of one id are spread over the shards too. Copies of a vector collapse within a shard to
+their k + 1 smallest ids, which loses nothing as ties go to the smaller id. A query's k nearest of each shard then meet in a
+window that Spark limits on the map side.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components take no part, neither
 as query nor as candidate; vectors of different lengths are not compared; a query is never its own neighbour (rows
-that repeat its id neither); with fewer than k candidates all are returned; further columns are ignored.
+that repeat its id neither). An id that several query rows have is one query, of its least vector (first by the first
+component, and so on); candidate rows that repeat count each. With fewer than k candidates all are returned. Scores beyond
+double precision are infinite. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import pickle
-from typing import Any
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +45,22 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0, square.max() - square))[:, None]], axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Divided by the power of two that brings the largest component (of each row, for queries) below 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def build(vectors: np.ndarray, ids: np.ndarray, keep: int) -> dict:
-    """A packed tree of distinct vectors (float32), each with its `keep` smallest ids."""
+    """A tree of distinct vectors (doubles), each with its `keep` smallest ids."""
     order = np.argsort(ids, kind="stable")
     vectors, ids = np.ascontiguousarray(vectors[order]), ids[order]
-    _, first, which = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+    _, first, which = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     by = np.argsort(which, kind="stable")
     rank = np.arange(len(by)) - np.searchsorted(which[by], which[by])
     by = by[rank < keep]
     owner, own_ids = which[by], ids[by]
     vectors = vectors[first]
-    x = lifted(vectors.astype(np.float64))
+    x = lifted(scaled(vectors.reshape(1, -1)).reshape(vectors.shape))
     rng, perm = np.random.default_rng(len(x)), np.arange(len(x))
     points, bounds, children, leaves = [], [], [], []  # of inner nodes; leaves as ranges of perm
     todo = [(0, len(x), -1, 0)]
@@ -77,7 +87,7 @@ def build(vectors: np.ndarray, ids: np.ndarray, keep: int) -> dict:
     start = np.searchsorted(owner, np.arange(len(x) + 1))
     id_lists = [own_ids[start[p] : start[p + 1]] for p in perm]
     return {
-        "vectors": vectors[perm], "extra": x[perm, -1], "ids": np.concatenate(id_lists), "id_ends": np.cumsum([0, *map(len, id_lists)]),
+        "vectors": vectors[perm], "scaled": x[perm, :-1], "extra": x[perm, -1], "ids": np.concatenate(id_lists), "id_ends": np.cumsum([0, *map(len, id_lists)]),
         "points": x[points] if points else np.empty((0, x.shape[1])), "bounds": np.array(bounds).reshape(-1, 4), "children": np.array(children, dtype=np.int64).reshape(-1, 2), "leaves": np.array(leaves),
     }
 
@@ -106,9 +116,8 @@ def leaf_bounds(tree: dict, queries: np.ndarray) -> np.ndarray:
 
 def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float) -> tuple[list[tuple[int, int, float]], float]:
     """(query id, id, score) of each query's k nearest in the tree, and the share of leaf visits that were made."""
-    q = queries.astype(np.float64)
+    q, x = scaled(queries), tree["scaled"]
     lift = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-    x = tree["vectors"].astype(np.float64)
     base = (q * q).sum(axis=1) + float((x[0] * x[0]).sum() + tree["extra"][0] ** 2)  # squared distance = base - 2 * inner product
     bounds = leaf_bounds(tree, lift)
     keep = k + 1 + SPARE
@@ -135,6 +144,10 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, facto
         fits = (q[who] @ x[rows].T >= least[who][:, None]) & np.repeat(allowed[:, open_], np.diff(tree["leaves"][open_], axis=1).ravel(), axis=1)
         return [(int(i), rows[f]) for i, f in zip(who, fits)]
 
+    def score(at: np.ndarray, i: int) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.cumsum(tree["vectors"][at] * queries[i], axis=1)[:, -1]  # added in order, as SQL engines do
+
     n = len(tree["leaves"])
     first = np.argsort(bounds, axis=1, kind="stable")[:, : min(n, 4)]
     for leaf in range(n):
@@ -153,7 +166,7 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, facto
     for i, own in enumerate(query_ids):
         if i in wide:
             at = wide[i]
-            scores = np.cumsum(x[at] * q[i], axis=1)[:, -1]
+            scores = score(at, i)
             n_ids = tree["id_ends"][at + 1] - tree["id_ends"][at]
             flat = np.repeat(tree["id_ends"][at] - np.cumsum(n_ids) + n_ids, n_ids) + np.arange(n_ids.sum())
             others, scores = tree["ids"][flat], np.repeat(scores, n_ids)
@@ -161,51 +174,70 @@ def search(tree: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, facto
             out += [(int(own), int(others[j]), float(scores[j])) for j in np.lexsort((others, -scores))[:k]]
             continue
         at = where[i][where[i] >= 0]
-        scores = np.cumsum(x[at] * q[i], axis=1)[:, -1]  # added in order, as SQL engines do
+        scores = score(at, i)
         found = [(-s, int(v), s) for p, s in zip(at, scores) for v in tree["ids"][tree["id_ends"][p] : tree["id_ends"][p + 1]] if v != own]
         found.sort()
         out += [(int(own), v, float(s)) for _, v, s in found[:k]]
     return out, float(seen.mean())
 
 
-def packed(df: DataFrame, keys: list[str], make) -> DataFrame:
-    """One row for each group: its keys and what make(ids, vectors) gives, pickled."""
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        data = pickle.dumps(make(rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float32)))
-        return pd.DataFrame([[*key, data]], columns=[*keys, "data"])
-
-    return df.groupBy(*keys).applyInPandas(run, f"{types}, data binary")
+def searched(batches: Iterator[pa.RecordBatch], k: int, factor: float, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """batches: dim, shard, is_query, vec_id, embedding, sorted by the first three. Each shard's neighbours of each query."""
+
+    def runs() -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        """Rows of equal (dim, shard, is_query) of each batch: ids and vectors."""
+        for batch in batches:
+            dim, shard, asked = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ids, lists = batch.column(3).to_numpy(), batch.column(4)
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(dim) != 0) | (np.diff(shard) != 0) | (asked[1:] != asked[:-1])])) if len(dim) else []
+            for a, b in zip(starts, [*starts[1:], len(dim)]):
+                yield (int(dim[a]), int(shard[a]), bool(asked[a])), ids[a:b], pc.list_flatten(lists.slice(a, b - a)).to_numpy().reshape(b - a, dim[a])
+
+    def found(tree: dict, ids: list[np.ndarray], vectors: list[np.ndarray]) -> pa.RecordBatch:
+        out, _ = search(tree, np.concatenate(vectors), np.concatenate(ids), k, factor)
+        columns = list(zip(*out)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    tree, of = None, None
+    for (dim, shard, asked), own in itertools.groupby(runs(), key=lambda x: x[0]):
+        if not asked:
+            ids, vectors = zip(*(x[1:] for x in own))
+            tree, of = build(np.concatenate(vectors), np.concatenate(ids), k + 1), (dim, shard)
+            continue
+        if of != (dim, shard):  # no vector of the shard has this length
+            continue
+        ids, vectors = [], []
+        for _, i, v in own:
+            for a in range(0, len(i), block_rows):
+                ids.append(i[a : a + block_rows])
+                vectors.append(v[a : a + block_rows])
+                if sum(map(len, ids)) >= block_rows:
+                    yield found(tree, ids, vectors)
+                    ids, vectors = [], []
+        if ids:
+            yield found(tree, ids, vectors)
 
 
 def nearest(
-    vectors: DataFrame, is_query: F.Column, k: int = 20, factor: float = 1.0, shard_rows: int = 16384, block_rows: int = 4096,
+    vectors: DataFrame, is_query: F.Column, k: int = 20, factor: float = 1.0, least_bytes: int = 8 << 20, most_bytes: int = 64 << 20, block_rows: int = 4096,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """A row per query and neighbour: query_id, rank, vec_id, score. is_query: a condition on the column vec_id.
 
-    The pairs' work is that of all queries against all shards; the trees prune within it.
+    Shards have at most most_bytes, and as far as that gives no more than two for each core, at most least_bytes. The work
+    is that of all queries against all shards; the trees prune within it.
     """
-    v = F.col(vector_col)
+    spark, v = vectors.sparkSession, F.col(vector_col)
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("embedding"), F.size(v).alias("dim"))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    shards, blocks = max(1, math.ceil(counts.n / shard_rows)), max(1, math.ceil(counts.q / block_rows))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    trees = packed(rows.withColumn("shard", spread(shards)), ["dim", "shard"], lambda ids, x: build(x, ids, k + 1))
-    asked = packed(rows.where(is_query).withColumn("block", spread(blocks)), ["dim", "block"], lambda ids, x: (ids, x))
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            tree, (ids, x) = pickle.loads(left["data"][0]), pickle.loads(right["data"][0])
-            out, _ = search(tree, x, ids, k, factor)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["dim", "shard", "block"]
-    found = trees.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding"))
+    size = rows.agg(F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0)).alias("n")).first().n * 8
+    shards = max(1, math.ceil(size / most_bytes), min(math.ceil(size / least_bytes), 2 * spark.sparkContext.defaultParallelism))
+    # Which shard a vector is in doesn't show in exact results, so rows that repeat an id are spread by their place.
+    held = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")).withColumn("is_query", F.lit(False))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(True))
+    both = held.unionByName(asked).select(F.size("embedding").alias("dim"), "shard", "is_query", "vec_id", "embedding")
+    streams = both.repartition(max(shards, 2), "dim", "shard").sortWithinPartitions("dim", "shard", "is_query")
+    found = streams.mapInArrow(lambda batches: searched(batches, k, factor, block_rows), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

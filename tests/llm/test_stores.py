@@ -5,6 +5,7 @@ import hashlib
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def cloud():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 12)).astype(np.float32) * rng.uniform(0.5, 2, (900, 1)).astype(np.float32)
     x[200:260] = x[7]  # many copies
-    return np.arange(900), x
+    return np.arange(900), x.astype(float)
 
 
 def test_exact_search_equals_brute_force(cloud):
@@ -44,7 +45,7 @@ def test_more_ties_than_spare_vectors(kind):
     """Of distinct vectors with the k-th score the smaller ids are taken, however many there are."""
     rng = np.random.default_rng(1)
     x = rng.choice([-1.0, 1.0], (3000, 24)) if kind == "signs" else (rng.random((3000, 40)) < 0.1).astype(float)
-    x = x[x.any(axis=1)].astype(np.float32)
+    x = x[x.any(axis=1)]
     ids = rng.permutation(len(x))
     tree, asked = ann.build(x, ids, 6), range(0, len(x), 30)
     got = {}
@@ -72,12 +73,58 @@ def test_neighbours_over_shards(spark, cloud):
     df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, rank int")
     want = brute(ids, x, 5)
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, shard_rows=200, block_rows=10).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, least_bytes=200 * 96, block_rows=10).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r["rank"] == len(got[r.query_id])
     assert got == {q: want[q] for q in range(0, 900, 20)}
 
 
+def test_doubles_of_any_size(spark):
+    """Scores are those of the original doubles, beyond what floats tell apart or hold."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 6))
+    x[100:200] = x[0] + rng.normal(size=(100, 6)) * 1e-12
+    x[300:] *= 10.0 ** rng.integers(-120, 120, (100, 1))
+    x[398:] = [[1e200, 0, 0, 0, 0, 0], [-1e200, 1e-200, 0, 0, 0, 0]]
+    ids = np.arange(400)
+    want = brute(ids, x, 7)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=7, least_bytes=100 * 48).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: want[q] for q in range(0, 400, 20)}
+
+
+def test_repeated_rows_of_queries_and_candidates(spark):
+    """A repeated query is one query, of its least vector; candidates count as often as they are there."""
+    rows = [(0, [1.0, 0.0])] * 3 + [(20, [2.0, 1.0]), (20, [1.0, 9.0])] + [(1, [3.0, 0.0])] * 2 + [(2, [1.0, 1.0])] + [(5, [0.5, 0.5])] * 500
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 20 == 0, k=6, least_bytes=200)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert got == {
+        0: [(1, 1, 3.0), (2, 1, 3.0), (3, 20, 2.0), (4, 2, 1.0), (5, 20, 1.0), (6, 5, 0.5)],
+        20: [(1, 2, 10.0), (2, 5, 5.0), (3, 5, 5.0), (4, 5, 5.0), (5, 5, 5.0), (6, 5, 5.0)],
+    }
+
+
+def test_a_tree_is_built_once_and_queries_stream_past(cloud, monkeypatch):
+    ids, x = cloud
+    made, blocks = [], []
+    build, search = ann.build, ann.search
+    monkeypatch.setattr(ann, "build", lambda *a: made.append(1) or build(*a))
+    monkeypatch.setattr(ann, "search", lambda tree, q, *a: blocks.append(len(q)) or search(tree, q, *a))
+    rows = [(12, s, False, int(i), x[i].tolist()) for s in (0, 1) for i in ids if i % 2 == s] + [(12, s, True, int(i), x[i].tolist()) for s in (0, 1) for i in ids]
+    rows.sort(key=lambda r: r[:3])
+    batches = pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], ["dim", "shard", "is_query", "vec_id", "embedding"]).to_batches(max_chunksize=70)
+    out = pa.Table.from_batches(ann.searched(iter(batches), 10, 1.0, 128)).to_pandas()
+    assert len(made) == 2 and max(blocks) <= 128 + 70 and sum(blocks) == 1800
+    want = brute(ids, x, 10)
+    for q, own in out.groupby("query_id"):
+        best = own.sort_values(["score", "vec_id"], ascending=[False, True]).head(10)
+        assert list(zip(best.vec_id, best.score)) == want[q]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [nan, 1.0]), (100, [inf, 1.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0]), (3, []), (4, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (120, [1.0, 1.0, 1.0])]
