@@ -4,13 +4,19 @@ An archive begins with a skippable frame (magic 0x184D2A5D) that holds a diction
 each record is then a frame by itself, compressed with it, so that a reader can seek to any record. Of records with
 equal payloads the one with the smallest id is a response; the others are revisits, which name it and hold no payload.
 
-At scale: equal payloads are found from digests alone: (digest -> smallest id, how many) combines before it shuffles, and
-only digests that occur more than once are joined back, a join of ids whose hot keys the adaptive split takes apart.
-Payloads move once, to archives of at most about `archive_rows` records or `archive_bytes` by a hash of the id. Archives are rows of a Parquet table in
-the shared folder (any store that Spark writes to; commits survive lost executors); `unpack` writes them as files.
+At scale: payloads move once, and only one of each: rows are grouped by digest, which combines copies before it shuffles,
+into responses, each with its payload, and what else was counted with it. Revisits have no payload; they are rows of (id,
+url, digest), counted where equal, and joined to their response's id alone, a join whose hot keys the adaptive split takes
+apart. Each task then packs the records that it has into archives as they stream by, of at most `archive_rows` records or
+`archive_bytes`, so neither a hot payload nor a row that repeats without end meets in one archive, and Spark sizes the
+partitions. Archives are rows of a Parquet table in the shared folder (any store that Spark writes to; commits survive lost
+executors); `unpack` writes them as files.
 
 Defined results: null payloads count as empty; a row that comes again (equal id and payload) revisits its own id; null
-ids come after all others, so they revisit any equal payload with an id; an empty table gives an empty archive table; further columns are ignored.
+ids come after all others, so they revisit any equal payload with an id (or one without, whose revisits name none); of
+equal ids the response is the one with the least url, null first; an empty table gives an empty archive table; further
+columns are ignored. A dictionary is built from samples of an archive's records, of which the first 128 KiB of each
+sampled one count; records are always stored whole.
 """
 
 from __future__ import annotations
@@ -22,30 +28,31 @@ import struct
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import slices, stored
 
 #: The format's skippable frame that holds the dictionary, and Zstandard's own marks.
 DICTIONARY_FRAME, FRAME, DICTIONARY = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1 << 20, 32 << 10, 3
+TIMES = 1000  # equal revisits that one row stands for
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(number: str, url: str | None, payload: bytes, sha: str, kind: str, refers: str | None) -> bytes:
+def record(number: str, url: str | None, payload: bytes, sha: str, kind: str, refers: str | None, length: int | None = None) -> bytes:
     """One WARC/1.1 record; line ends within a url would break its header and are percent-encoded."""
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:recordspark:{number}>", f"WARC-Target-URI: {target}",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}",
+        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload) if length is None else length}",
     ]
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:recordspark:{refers}>"]
@@ -99,31 +106,45 @@ def read_archive(data: bytes) -> Iterator[bytes]:
 
 
 def write(pages: DataFrame, least: int = 0, archive_rows: int = 2000, archive_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes the archives: a table of archive int, records long, data binary. Payloads under `least` bytes are never revisits."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("number", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html").cast("long")), F.lit(0)).alias("bytes")).first()
-    archives = max(1, math.ceil(total.n / archive_rows), math.ceil(total.bytes / archive_bytes))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "sha"), F.lit(archives)).cast("int"))
-    counted = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    revisits = rows.select("page_id", "number", "sha", "archive").join(counted.where("n > 1"), "sha").where("not page_id <=> first")
-    revisits = revisits.select(F.col("archive").alias("in"), F.col("number").alias("id"), F.col("sha").alias("hex"), F.col("first").cast("string").alias("refers_to")).distinct()
-
-    def pack(own: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame({"archive": [], "records": [], "data": []})
-        refers = dict(zip(zip(again["id"], again["hex"]), again["refers_to"]))
-        out, seen = [], set()
-        own = own.sort_values(["number", "sha"], kind="stable")
-        for number, url, html, sha in zip(own["number"], own["url"], own["html"], own["sha"]):
-            payload, first = html.encode(), refers.get((number, sha))
-            if first is None and (number, sha) in seen and number != "null" and len(payload) >= least:
-                first = number  # the row comes again
-            seen.add((number, sha))
-            out.append(record(number, url, payload, digest(payload), "response" if first is None else "revisit", first))
-        return pd.DataFrame([[int(own["archive"].iloc[0]), len(out), write_archive(out)]], columns=["archive", "records", "data"])
-
-    return stored(rows.select("archive", "number", "url", "html", "sha").groupBy("archive").cogroup(revisits.groupBy("in")).applyInPandas(pack, "archive int, records long, data binary"), "warc")
+    """Writes the archives: a table of archive long, records long, data binary. Payloads under `least` bytes are never revisits."""
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    large = F.octet_length("html") >= least
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "url")
+    first = rows.where(large).groupBy("sha").agg(F.min(place).alias("f"), F.first("html").alias("html"))
+    responses = first.select("f.id", "f.url", "html").unionByName(rows.where(~large).select("id", "url", "html"))
+
+    # Revisits: all rows but one of each payload. Those of equal id and url are counted, the response taken off its own.
+    counted = rows.where(large).groupBy("sha", "id", "url", F.octet_length("html").cast("long").alias("bytes")).agg(F.count("*").alias("n"))
+    shared = counted.groupBy("sha").agg(F.min(place).alias("f"), F.sum("n").alias("all")).where(F.col("all") > 1).select("sha", "f")
+    again = counted.join(shared, "sha").withColumn("n", F.col("n") - F.when(place.eqNullSafe(F.col("f")), 1).otherwise(0)).where("n > 0")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {TIMES}")))
+    again = again.withColumn("part", part).withColumn("times", F.least(F.lit(TIMES).cast("long"), F.col("n") - F.col("part") * TIMES))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    records = responses.select(text("id").alias("number"), "url", "html", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("refers"), F.lit(1).cast("long").alias("times"))
+    revisits = again.select(text("id").alias("number"), "url", F.lit(None).cast("string").alias("html"), "sha", "bytes", text("f.id").alias("refers"), "times")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size, made = [], 0, TaskContext.get().partitionId() << 32
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([write_archive(own)], pa.binary())], ["archive", "records", "data"])
+
+        for batch in slices(batches):
+            for number, url, html, sha, bytes_, refers, times in zip(*(c.to_pylist() for c in batch.columns)):
+                payload = b"" if html is None else html.encode()
+                kind, digest_ = ("response", digest(payload)) if html is not None else ("revisit", base64.b32encode(bytes.fromhex(sha)).decode())
+                one = record(number, url, payload, digest_, kind, refers, len(payload) if bytes_ is None else bytes_)
+                for _ in range(times):
+                    if own and (len(own) >= archive_rows or size + len(one) > archive_bytes):
+                        yield archive()
+                        own, size, made = [], 0, made + 1
+                    own.append(one)
+                    size += len(one)
+        if own:
+            yield archive()
+
+    return stored(records.unionByName(revisits).mapInArrow(pack, "archive long, records long, data binary"), "warc")
 
 
 def read(archives: DataFrame) -> DataFrame:

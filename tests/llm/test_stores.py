@@ -164,6 +164,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert struct.unpack("<I", files[0].read_bytes()[:4])[0] == 0x184D2A5D
 
 
+def test_rows_that_repeat_without_end(spark, monkeypatch):
+    """A third of the rows are one row: its revisits are spread over archives and parts, and none is lost."""
+    monkeypatch.setattr(warc, "TIMES", 50)
+    rows = [(7, "u", "<p>hot</p>" * 30)] * 3000 + [(i, f"v{i}", "<p>hot</p>" * 30) for i in range(8, 1500)] + [(i, "w", f"<p>{i}</p>") for i in range(2000, 5000)] + [(None, None, "<i>none</i>")] * 3
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), archive_rows=400)
+    assert archives.selectExpr("max(records)", "sum(records)").first() == (400, len(rows))
+    out = warc.read(archives).toPandas()
+    assert out.page_id.fillna(-1).value_counts().to_dict() == {7: 3000, -1: 3} | {i: 1 for i in (*range(8, 1500), *range(2000, 5000))}
+    hot = out[out.page_id.between(7, 1499)]
+    assert (hot.record_type == "response").sum() == 1 and (hot[hot.record_type == "revisit"].refers_to == 7).all() and hot.payload_bytes.eq(300).all()
+    assert hot[hot.page_id == 7].record_type.value_counts().to_dict() == {"revisit": 2999, "response": 1}
+    none = out[out.page_id.isna()]
+    assert sorted(none.record_type) == ["response", "revisit", "revisit"] and none.refers_to.isna().all()
+
+
 def test_small_payloads_are_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(warc.write(df, least=3)).collect()}
