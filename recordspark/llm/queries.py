@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import ann, bpe, html_extract, langid, media, minhash, mixing, sharding, urlfilter, warc
-from .shared import table
+from .shared import stored, table
 
 
 def tokenizer_path() -> str:
@@ -45,7 +45,7 @@ def op7_minimax_shards(spark, sf_dir):
 
 
 def op8_avi_mjpeg(spark, sf_dir):
-    return media.digests(media.write_column(table(spark, sf_dir, "documents")))
+    return media.digests(stored(media.write_column(table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_language_mixture(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -146,8 +148,7 @@ def test_media_holds_any_bytes():
 
 def test_general_decoder_agrees():
     frame = media.parse_avi(media.write_avi(media.padded(random.Random(2).randbytes(4096))))[0][0]
-    b = np.frombuffer(media.uniform_blocks(frame), np.uint8).reshape(-1, 64).astype(np.int16)
-    fast = media.samples_of(np.where(b < 128, b - 255, b)).reshape(8, 8, 8, 8).transpose(0, 2, 1, 3).reshape(64, 64)
+    fast = media.uniform_luma(media.uniform_blocks(frame)).reshape(8, 8, 8, 8).transpose(0, 2, 1, 3).reshape(64, 64)
     assert (media.decode_luma(frame) == fast).all()
 
 
@@ -170,8 +171,8 @@ def jpeg_of_grey(levels, width, height):
         bits += f"{c:0{length}b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "") + "0"
     bits += "1" * (-len(bits) % 8)
     scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
-    head = media.segment(0xDB, b"\0" + b"\x08" * 64) + media.segment(0xC0, bytes([8, 0, height, 0, width, 1, 1, 0x11, 0]))
-    tables = media.segment(0xC4, b"\0" + bytes(counts) + bytes(sizes)) + media.segment(0xC4, media.one_code(1, 0))
+    head = media.segment(0xDB, b"\0" + b"\x08" * 64) + media.segment(0xC0, struct.pack(">BHHB3B", 8, height, width, 1, 1, 0x11, 0))
+    tables = media.segment(0xC4, b"\0" + bytes(counts) + bytes(sizes)) + media.segment(0xC4, media.one_code(1, 0, 1))
     return b"\xff\xd8" + head + tables + media.segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
 
 
@@ -192,6 +193,73 @@ def test_other_frames_and_shots(spark):
             media.parse_avi(bad)
 
 
+def plain_feature(stored):
+    """From samples by the cosine sum of the format, histograms and cuts in plain Python."""
+    frames, fps, _ = media.parse_avi(stored)
+    order = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
+    wave = [[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(0.5) if u == 0 else 1) for u in range(8)] for x in range(8)]
+    hist = []
+    for frame in frames:
+        counts = [0] * 16
+        data = media.uniform_blocks(frame)
+        for at in range(0, len(data), 64):
+            level = {rc: b if b >= 128 else b - 255 for rc, b in zip(order, data[at : at + 64])}
+            half = [[sum(level[v, u] * wave[x][u] for u in range(8)) for x in range(8)] for v in range(8)]
+            for y in range(8):
+                for x in range(8):
+                    sample = sum(half[v][x] * wave[y][v] for v in range(8)) / 4 + 128
+                    counts[min(255, max(0, round(sample))) // 16] += 1
+        hist.append([c / sum(counts) for c in counts])
+    moved = [sum(abs(x - y) for x, y in zip(a, b)) / 2 for a, b in zip(hist, hist[1:])]
+    cuts = [0]
+    for i, d in enumerate(moved):
+        near = [moved[j] for j in range(max(0, i - 12), min(len(moved), i + 13)) if j != i]
+        mean = sum(near) / len(near) if near else 0.5
+        spread = math.sqrt(sum((x - mean) ** 2 for x in near) / len(near)) if near else 0
+        if d > 0.1 and d > mean + 2 * spread:
+            cuts.append(i + 1)
+    return [(a / fps, b / fps, [sum(h[k] for h in hist[a:b]) / (b - a) for k in range(16)]) for a, b in zip(cuts, [*cuts[1:], len(hist)])]
+
+
+def test_feature_equals_plain_python(spark):
+    texts = ["", "short", "plain words of one kind " * 700, "a" * 30_000 + "\U0001f600" * 6000 + "zebra " * 4000, "é" * 9000 + "0123456789 " * 2500]
+    out = media.digests(media.write_column(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    cuts = 0
+    for r in out:
+        want = plain_feature(media.write_avi(media.padded(texts[r.doc_id].encode())))
+        got = [(x.partition(":")[0], [float(v) for v in x.partition(":")[2].split(",")]) for x in r.feature.split(";")]
+        assert [x for x, _ in got] == [f"{a:.2f}-{b:.2f}" for a, b, _ in want]
+        for (_, shares), (*_, exact) in zip(got, want):
+            assert shares == pytest.approx(exact, abs=0.002)
+        cuts += len(got) - 1
+    assert cuts >= 2
+
+
+def test_long_values_and_scans_cost_in_proportion():
+    import time
+    import tracemalloc
+
+    raw = random.Random(3).randbytes(1 << 20) + b"text " * (1 << 20)
+    tracemalloc.start()
+    stored = media.write_avi(media.padded(raw), len(raw))
+    assert media.payload_of(stored) == (media.padded(raw), len(raw)) and tracemalloc.get_traced_memory()[1] < 8 * len(raw)
+    tracemalloc.stop()
+    took = []
+    for side in (50, 200):
+        frame = jpeg_of_grey([random.Random(1).randrange(256) for _ in range(side * side)], side * 8, side * 8)
+        began = time.process_time()
+        media.decode_luma(frame)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0]
+
+
+def test_further_segments_of_large_files():
+    dark, light = jpeg_of_grey([20, 22, 24, 26], 16, 16), jpeg_of_grey([200, 201, 202, 203], 16, 16)
+    more = media.chunk(b"RIFF", b"AVIX" + media.chunk(b"LIST", b"movi" + media.chunk(b"LIST", b"rec " + media.chunk(b"00dc", light)) + media.chunk(b"01wb", b"sound")))
+    frames, _, _ = media.parse_avi(avi_of([dark] * 3) + more + more)
+    assert frames == [dark] * 3 + [light] * 2
+
+
 def test_media_rows(docs, no_docs):
     out = media.digests(media.write_column(docs)).collect()
     by_text = collections.defaultdict(set)
