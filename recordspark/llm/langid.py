@@ -8,7 +8,7 @@ more than `penalty` times the logarithm of the number of trigrams. The largest s
 Fitting takes, of each labelled language, about `fit_rows` documents, whole: those whose id's hash, in [0, 1), is under
 fit_rows / (the language's documents); all of them where there are fewer. Each executor filters and counts what it reads:
 only counts by (language, bucket) are shuffled. The driver holds a row for each language and the model, 4 bytes * buckets
-* languages. Prediction covers every row in one pass without a shuffle; the model is broadcast.
+* languages; more than `most_languages` values of lang are an error, not a cut. Prediction covers every row in one pass without a shuffle; the model is broadcast.
 
 Defined results: null text, and text without any letter, is `und` with score 0 (as is everything when nothing was
 learned); ties go to the language first in code-point order; an empty table gives an empty result; repeated rows give
@@ -34,20 +34,20 @@ BUCKETS = 1 << BUCKET_BITS
 
 @functools.lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x20000)] + [True])
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """How often each bucket occurs; runs of what isn't a letter count as one space."""
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur, and how often; runs of what isn't a letter count as one space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    c = np.where(letters()[np.minimum(c, 0x20000)], c, 32)
+    c = np.where(letters()[c], c, 32)
     c = np.concatenate([[32], c, [32]]).astype(np.uint64)
     c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
     if len(c) < 3:
-        return np.zeros(BUCKETS, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     code = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
     code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.bincount((code >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS)
+    return np.unique((code >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
 
 
 @dataclass
@@ -56,11 +56,13 @@ class Model:
     chance: np.ndarray  # bucket x language
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, smoothing: float = 0.5, most_languages: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), unit_interval(F.lit("fit"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("u")
     )
-    labels = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labels = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(labels) > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values")
     if not labels:
         return Model([], np.empty((BUCKETS, 0), np.float32))
     most = F.create_map(*[F.lit(x) for lang, n in labels.items() for x in (lang, min(1.0, fit_rows / n))])
@@ -70,7 +72,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, smoothing: float = 0.5, i
         sums: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[lang] = sums.get(lang, 0) + trigrams(text)
+                buckets, n = trigrams(text)
+                sums.setdefault(lang, np.zeros(BUCKETS, np.int64))[buckets] += n
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
@@ -101,11 +104,10 @@ def infer(model: Model, text: str | None, penalty: float = 3.0, rounds: int = 30
     """The chosen languages with their shares, largest first; empty if there is no letter."""
     if not text or not model.languages:
         return []
-    counts = trigrams(text)
-    at = np.flatnonzero(counts)
+    at, n = trigrams(text)
     if not len(at):
         return []
-    n = counts[at].astype(np.float64)
+    n = n.astype(np.float64)
     chance = model.chance[at].astype(np.float64)
     width = len(model.languages)
     share, _ = shares_of(chance, n, np.full(width, 1 / width), rounds)

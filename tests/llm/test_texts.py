@@ -294,6 +294,66 @@ def test_mixture_of_two_languages(spark, data):
         assert langid.infer(model, none) == []
 
 
+def plain_em(chance, n, rounds, tolerance=1e-4):
+    """Shares by expectation-maximisation over single trigrams."""
+    width = len(chance[0])
+    share = [1 / width] * width
+    for _ in range(rounds):
+        new = [0.0] * width
+        for row, times in zip(chance, n):
+            total = sum(s * c for s, c in zip(share, row))
+            for i in range(width):
+                new[i] += times * share[i] * row[i] / total
+        new = [x / sum(n) for x in new]
+        moved = max(abs(a - b) for a, b in zip(new, share))
+        share = new
+        if moved < tolerance:
+            break
+    return share, sum(times * math.log(sum(s * c for s, c in zip(share, row))) for row, times in zip(chance, n))
+
+
+def test_shares_equal_plain_sums():
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 5):
+        chance, n = rng.dirichlet(np.ones(width) / 2, 60) + 1e-6, rng.integers(1, 9, 60).astype(float)
+        share, value = langid.shares_of(chance, n, np.full(width, 1 / width), 30)
+        want, likely = plain_em(chance.tolist(), n.tolist(), 30)
+        assert share == pytest.approx(want) and value == pytest.approx(likely)
+
+
+def test_mixture_decides_where_single_languages_mislead():
+    """A document of 55 % a and 45 % b: alone a third language that is between both is likeliest, as a mixture a and b are."""
+    model_of = lambda columns: langid.Model(["a", "b", "between"], np.array(columns, np.float32).T)
+    rng, size = np.random.default_rng(5), langid.BUCKETS
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    own = {x: [word() for _ in range(60)] for x in "ab"}
+    counts = {x: np.full(size, 0.5) for x in "ab"}
+    for x in "ab":
+        at, n = langid.trigrams(" ".join(own[x] * 20))
+        counts[x][at] += n
+    a, b = (counts[x] / counts[x].sum() for x in "ab")
+    model = model_of([a, b, 0.5 * (0.4 * a + 0.6 * b) + 0.5 / size])
+    text = " ".join(list(rng.choice(own["a"], 110)) + list(rng.choice(own["b"], 90)))
+    at, n = langid.trigrams(text)
+    assert np.argmax(n @ np.log(model.chance[at])) == 2
+    found = langid.infer(model, text)
+    assert [x for x, _ in found] == ["a", "b"] and dict(found)["a"] == pytest.approx(0.55, abs=0.05)
+    # The set is the best of all sets by penalised likelihood.
+    value = {}
+    for chosen in ([0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]):
+        _, likely = plain_em(model.chance[at][:, chosen].astype(float).tolist(), n.tolist(), 200, 1e-7)
+        value[tuple(chosen)] = likely - 3.0 * math.log(n.sum() + 1) * len(chosen)
+    assert max(value, key=value.get) == (0, 1)
+
+
+def test_what_is_no_letter_is_no_language(spark):
+    rows = [(1, "\U000f0000 \U000e0041 \U0001f600"), (2, "\U00020000\U00020001\U0002a6d6"), (3, "\ud7ff\u0300 12")]
+    model = langid.fit(spark.createDataFrame([(i, "words of a language", "en") for i in range(5)], "doc_id long, text string, lang string"))
+    assert [langid.infer(model, t) == [] for _, t in rows] == [True, False, True]
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.fit(spark.createDataFrame([(i, "x", f"l{i}") for i in range(9)], "doc_id long, text string, lang string"), most_languages=3)
+
+
 def test_language_odd_rows(docs, no_docs):
     model = langid.fit(docs)
     assert model.languages == ["de", "en", "fr"]
