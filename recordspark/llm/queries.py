@@ -110,7 +110,7 @@ SELECT page_id, payload_bytes,
 FROM p JOIN f USING (hex)"""
 
 
-def links_sql(rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-6, threshold: float = 0.5) -> str:
+def links_sql(rounds: int = 40, damping: float = 0.85, tolerance: float = 0.0, threshold: float = 0.5) -> str:
     """The walk of urlfilter.propagate, a common table for each round."""
     after = "substr(url, instr(url, '://') + 3)"
     lower = lambda x: f"translate({x}, '{urlfilter.UPPER}', '{urlfilter.LOWER}')"
@@ -119,11 +119,11 @@ def links_sql(rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-6,
         for _, rule in sorted(urlfilter.RULES, key=lambda x: -len(x[1])) for name, _, prefix in [rule.partition("/")]
     ) + " END"
     said = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{what}'" for what, rule in urlfilter.RULES) + " END"
-    link = urlfilter.LINK.replace("'", "''")
+    link, hidden = (x.replace("'", "''") for x in (urlfilter.LINK, urlfilter.HIDDEN))
     tables = [
         f"p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN {lower(f"regexp_extract({after}, '^[^/?#]*')")} ELSE '' END AS host, CASE WHEN instr(url, '://') > 0 THEN regexp_extract({after}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages)",
         f"j AS (SELECT page_id, host, path, rule, {said} AS said FROM (SELECT page_id, host, path, {rule} AS rule FROM p))",
-        f"e AS (SELECT DISTINCT host AS src, {lower('dst')} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM p) WHERE host <> '' AND dst <> '' AND host <> {lower('dst')})",
+        f"e AS (SELECT DISTINCT host AS src, {lower('dst')} AS dst FROM (SELECT host, unnest(regexp_extract_all(regexp_replace(html, '{hidden}', ' ', 'g'), '{link}', 1)) AS dst FROM p) WHERE host <> '' AND dst <> '' AND host <> {lower('dst')})",
         "n AS (SELECT *, count(*) OVER (PARTITION BY good, here) AS degree FROM (SELECT true AS good, src AS here, dst AS there FROM e UNION ALL SELECT false, dst, src FROM e))",
         "f0 AS (SELECT * FROM (SELECT true AS good, host, avg(CASE WHEN said = 'allow' THEN 1.0 ELSE 0 END) AS score FROM j WHERE host <> '' GROUP BY host UNION ALL SELECT false, host, avg(CASE WHEN said = 'block' THEN 1.0 ELSE 0 END) FROM j WHERE host <> '' GROUP BY host) WHERE score > 0)",
         *(f"f{i} AS (SELECT * FROM (SELECT n.good, there AS host, round(sum(score * {damping} / degree), 12) AS score FROM f{i - 1} JOIN n ON f{i - 1}.good = n.good AND host = here GROUP BY ALL) WHERE score > {tolerance})" for i in range(1, rounds + 1)),

@@ -7,12 +7,14 @@ from blocked seeds against them (who links to bad hosts is bad), and a host whos
 
 At scale: the graph is one of hosts, not pages: links are read in the JVM, cut to the host, and made distinct before
 anything is joined. Sums by host combine before they shuffle, so a host with a third of all pages is no hot key there;
-the join of pages to blocked hosts is salted. Each round of the walk is a checkpoint in the
+the join of pages to blocked hosts is salted, and that of the flow to a hub's links is an equi join of distinct edges, which
+the adaptive split takes apart. Each round of the walk is a checkpoint in the
 shared folder, so a lost executor costs one round at most. The walk ends when what is left of it can't move any host
 across the threshold, or can't add more than `tolerance` to any host.
 
 Defined results: null url, or one without ://, has an empty host and path, no rule, verdict allow; null html has no
-links; repeated links count once; links of a host to itself are not edges; an empty table gives an empty result;
+links; links in comments, scripts and styles, and other attributes than href, don't count; repeated links count once; links of
+a host to itself are not edges; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -27,7 +29,9 @@ from .shared import checkpointed
 
 #: (verdict, rule): host up to the first /, then the path's prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: What holds no links: comments, scripts, styles; one that isn't closed goes on to the end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)"
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 SALTS = 32
 #: Rounds from one look at which hosts are undecided to the next.
 CHECKED = 4
@@ -56,7 +60,7 @@ def rule_of(rules=RULES, host="host", path="path") -> F.Column:
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Distinct (src, dst) host pairs of the absolute links in the pages."""
-    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)))).alias("dst"))
+    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.col(html_col), HIDDEN, " "), F.lit(LINK), F.lit(1)))).alias("dst"))
     return links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 

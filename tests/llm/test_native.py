@@ -1,6 +1,8 @@
 """Mixing, sharding and URL filters against plain Python and SQL."""
 
+import collections
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -238,6 +240,51 @@ def test_propagation_equals_dense_sums(spark):
             assert got.get(str(i), (0, 0))[which] == pytest.approx(total[i], abs=1e-9)
 
 
+def linked_pages(seed=1):
+    """Pages of 70 hosts, some of them seeds, that link to each other, with what looks like links but isn't."""
+    rnd = random.Random(seed)
+    hosts = [f"h{i}.com" for i in range(55)] + [f"bad{i}.net" for i in range(10)] + [f"good{i}.example.net" for i in range(5)]
+    pages, links = [], []
+    for i in range(400):
+        host = rnd.choice(hosts)
+        to = rnd.sample(hosts, rnd.choice([0, 1, 1, 2, 3])) + (rnd.sample(hosts[55:65], 2) if host in hosts[:12] else []) + (rnd.sample(hosts[:12], 1) if host in hosts[12:20] else [])
+        fake = rnd.choice(hosts)
+        body = "".join(rnd.choice([f"<a href='http://{t}/x'>", f'<A class="c" HREF = //{t.upper()}?q>', f'<a\nhref="https://{t}">', f"<a href=http://{t}/y#z>"]) + "t</a>" for t in to)
+        body += rnd.choice([f'<a data-href="http://{fake}/">', f"<!-- <a href='http://{fake}/'> -->", f"<script>var x = '<a href=http://{fake}/>';</script>", f'<abbr href="//{fake}">', f"<style><a href='//{fake}'></style>", f"<!-- <a href='http://{fake}/'>"])
+        pages.append((i, f"http://{host}/en/{i}", body))
+        links += [(host, t) for t in to if t != host]
+    return pages, set(links)
+
+
+def test_verdicts_by_links_equal_dense_sums_and_sql(spark, tmp_path):
+    import duckdb
+
+    pages, edges = linked_pages()
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.src, r.dst) for r in urlfilter.host_edges(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()} == edges
+    hosts = sorted({u.split("/")[2] for _, u, _ in pages} | {h for e in edges for h in e})
+    at, score = {h: i for i, h in enumerate(hosts)}, []
+    seen = {u.split("/")[2] for _, u, _ in pages}
+    for good, pairs in ((True, edges), (False, {(b, a) for a, b in edges})):
+        m = np.zeros((len(hosts), len(hosts)))
+        for a, b in pairs:
+            m[at[b], at[a]] = 1 / sum(x == a for x, _ in pairs)
+        seed = np.array([float(h in seen and h.endswith("example.net" if good else ".net") and (good or "example" not in h)) for h in hosts])
+        score.append(np.linalg.solve(np.eye(len(hosts)) - 0.85 * m, seed))
+    apart = score[1] - score[0]
+    assert np.abs(apart - 0.5).min() > 1e-6
+    out = QUERIES["op10_link_graph"](spark, str(tmp_path))
+    by_links = collections.Counter()
+    for r in out.collect():
+        if r.rule is None:
+            assert r.verdict == ("block" if apart[at[r.host]] >= 0.5 else "allow"), r
+            by_links[r.verdict] += 1
+    assert min(by_links["block"], by_links["allow"]) > 20
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert_same(out, c.execute(ORACLE["op10_link_graph"]))
+
+
 def test_walk_goes_on_until_verdicts_are_settled(spark):
     """Distrust that circles between two hosts passes the threshold after 20 rounds only: 0.85 * s / (1 - 0.85 ** 2)."""
     edges = spark.createDataFrame([("x", "seed"), ("x", "y"), ("y", "x")], "src string, dst string")
