@@ -21,7 +21,8 @@ ORACLE: dict = {}
 DAY = 86_400_000_000
 #: 2024-01-10, 2024-01-20 and the moment "now" of the queries on expiry, 2024-01-25 (microseconds).
 T1, T2, NOW = 1_704_844_800_000_000, 1_705_708_800_000_000, 1_706_140_800_000_000
-SNAPSHOT = 5000
+#: Half of the events' numbers, of which a snapshot is.
+MIDDLE = "(SELECT (min(event_id) + max(event_id)) // 2 FROM events)"
 #: (low, high, seq) of range tombstones.
 RANGES = (("click:2", "click:4", 6000), ("purchase:", "purchase:3", 2500), ("view:7", "view:8", 100_000_000))
 
@@ -102,9 +103,9 @@ def scan_bounds_open(spark, d):
     return scanned(spark, d, ScanRange(key_low=Bound("click:10", False), key_high=Bound("view:5"), ts_low=Bound(T1), ts_high=Bound(T2, False)))
 
 
-@query(f"SELECT key, ts, seq, value, row_number() OVER (ORDER BY key, ts) AS rn FROM {R} WHERE starts_with(key, 'signup:1')")
+@query(f"SELECT key, ts, seq, value, row_number() OVER (ORDER BY key, ts) AS rn FROM {R}")
 def scan_natural_order(spark, d):
-    return with_ordinals(scanned(spark, d, ScanRange.of_prefix("signup:1")), F.col("key"), F.col("ts"))
+    return with_ordinals(scanned(spark, d, ScanRange.all()), F.col("key"), F.col("ts"))
 
 
 DAILY = f"(SELECT CAST(user_id AS VARCHAR) AS key, ts // {DAY} * {DAY} AS ts, seq, value, event_type FROM {R})"
@@ -116,6 +117,10 @@ def daily(spark, d, op=None, **kw):
     return log(spark, d, F.col("user_id").cast("string"), F.expr(f"_ts div {DAY}") * F.lit(DAY), op, **kw)
 
 
+def middle(spark, d) -> int:
+    return table(spark, d, "events").agg(F.expr("(min(event_id) + max(event_id)) div 2").alias("m")).first()["m"]
+
+
 LWW = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY seq DESC) AS n FROM {DAILY}) WHERE n = 1"
 
 
@@ -124,9 +129,9 @@ def point_get(spark, d):
     return shown(records.get(daily(spark, d), "7", FIRST_DAY, NOW))
 
 
-@query(f"SELECT key, ts, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY seq DESC) AS n FROM {DAILY} WHERE seq <= {SNAPSHOT}) WHERE n = 1 AND key = '7' AND ts = {FIRST_DAY}")
+@query(f"SELECT key, ts, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY seq DESC) AS n FROM {DAILY} WHERE seq <= {MIDDLE}) WHERE n = 1 AND key = '7' AND ts = {FIRST_DAY}")
 def point_get_snapshot(spark, d):
-    return shown(records.get(daily(spark, d), "7", FIRST_DAY, NOW, SNAPSHOT))
+    return shown(records.get(daily(spark, d), "7", FIRST_DAY, NOW, middle(spark, d)))
 
 
 LATEST = "SELECT key, ts, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS n FROM {}) WHERE n = 1"
@@ -177,9 +182,9 @@ def range_tombstone_many(spark, d):
     return shown(records.visible(log(spark, d).unionByName(ranges_log(spark)), NOW, max_broadcast=1))
 
 
-@query(f"SELECT key, ts, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY seq DESC) AS n FROM {DAILY} WHERE seq <= {SNAPSHOT}) WHERE n = 1")
+@query(f"SELECT key, ts, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY seq DESC) AS n FROM {DAILY} WHERE seq <= {MIDDLE}) WHERE n = 1")
 def snapshot_scan(spark, d):
-    return shown(records.scan(daily(spark, d), ScanRange.all(), NOW, SNAPSHOT))
+    return shown(records.scan(daily(spark, d), ScanRange.all(), NOW, middle(spark, d)))
 
 
 @query(f"SELECT key, ts, seq, value, ts + {10 * DAY} AS expire_at FROM {R} WHERE ts + {10 * DAY} > {NOW}")
@@ -551,10 +556,11 @@ def unique_violations(spark, d):
     return orders(spark, d).violations("by_customer")
 
 
-@query(f"SELECT pk FROM {C} WHERE c_custkey % 5 = 0 AND c_custkey <= 700")
+@query("SELECT CAST(n.c_custkey AS VARCHAR) AS pk FROM customer c JOIN customer n ON n.c_custkey = 2 * c.c_custkey")
 def add_conflicts(spark, d):
+    """Every customer is to be added again under twice its number: those whose key is taken."""
     df = customers(spark, d).df
-    return existing(df.where("c_custkey % 5 = 0").select("pk"), df.where("c_custkey <= 700"))
+    return existing(df.select((F.col("c_custkey") * 2).cast("string").alias("pk")), df)
 
 
 @query("SELECT 1000 + row_number() OVER (ORDER BY s_suppkey) AS id, s_suppkey FROM supplier")
@@ -590,12 +596,12 @@ def tx_overlay_index(spark, d):
     return transaction_view(spark, d).get_by_index("by_segment_nation", "NEW")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS pk FROM customer WHERE c_custkey <= 500 AND (c_custkey % 4 = 0 OR c_custkey % 9 = 0)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS pk FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'MACHINERY'")
 def occ_conflicts(spark, d):
-    """Read: the first 500. Since then every 4th has changed and every 9th is gone."""
-    base = customers(spark, d).df.select("pk", "c_custkey", F.col("c_name").alias("doc"))
-    now = base.where("c_custkey % 9 <> 0").withColumn("doc", F.when(F.col("c_custkey") % 4 == 0, F.concat("doc", F.lit("!"))).otherwise(F.col("doc")))
-    return conflicts(base.where("c_custkey <= 500").select("pk", "doc"), now)
+    """Read: all. Since then those with a negative balance have changed, and one segment is gone."""
+    base = customers(spark, d).df.select("pk", "c_acctbal", "c_mktsegment", F.col("c_name").alias("doc"))
+    now = base.where("c_mktsegment <> 'MACHINERY'").withColumn("doc", F.when(F.col("c_acctbal") < 0, F.concat("doc", F.lit("!"))).otherwise(F.col("doc")))
+    return conflicts(base.select("pk", "doc"), now)
 
 
 @query("SELECT turn_key AS pk, role, text FROM (SELECT CAST(conv_id AS VARCHAR) AS turn_key, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations) WHERE n = 1")

@@ -3,6 +3,7 @@
 import pytest
 from compare import assert_same
 
+import recordspark.plans.stores  # noqa: F401  adds its queries
 from recordspark.plans.catalogue import ORACLE, QUERIES
 
 
