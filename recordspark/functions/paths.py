@@ -39,23 +39,34 @@ def raw_text(doc: Column, path: str) -> Column:
 
 
 def sort_key(doc: Column, path: str) -> Column:
-    """The orderable struct of the value at the path of a JSON text; NULL where it leads nowhere."""
-    v = extract(F.try_parse_json(doc), path)
-    kind, raw = F.schema_of_variant(v), raw_text(doc, path)
-    decimal = kind.startswith("DECIMAL")
-    fraction = (kind == "DOUBLE") | (kind == "FLOAT") | (decimal & (raw.rlike("[.eE]") | raw.startswith("-")))
-    whole = (kind == "BIGINT") | (kind == "INT") | (kind == "SMALLINT") | (kind == "TINYINT")
-    boolean = F.try_variant_get(v, "$", "boolean")
-    tag = (
-        F.when(kind == "VOID", 1).when((kind == "BOOLEAN") & ~boolean, 2).when(kind == "BOOLEAN", 3).when(whole, 4).when(fraction, 5).when(decimal, 6).when(kind == "STRING", 7).otherwise(8)
-    )
-    return F.when(
-        v.isNotNull(),
-        F.struct(
-            tag.cast("int").alias("tag"), F.when(whole, F.try_variant_get(v, "$", "bigint")).alias("i"), F.when(fraction, F.try_variant_get(v, "$", "double")).alias("f"),
-            F.when(decimal & ~fraction, F.try_variant_get(v, "$", "decimal(20,0)")).alias("u"), F.when(tag == 7, F.try_variant_get(v, "$", "string")).when(tag == 8, F.to_json(v)).alias("s"),
-        ),
-    )
+    """The orderable struct of the value at the path of a JSON text; NULL where it leads nowhere.
+
+    The text is parsed once: the value, and then its kind, are bound as a lambda's variables. Only decimals, whose own text
+    tells 7 from 7.0, are looked up a second time.
+    """
+    raw = raw_text(doc, path)
+
+    def key(x: Column) -> Column:
+        v, kind = x["v"], x["kind"]
+        decimal = kind.startswith("DECIMAL")
+        fraction = kind.isin("DOUBLE", "FLOAT") | (decimal & (raw.rlike("[.eE]") | raw.startswith("-")))
+        whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+        number = F.when(whole, 4).when(fraction, 5).when(decimal, 6)
+        other = F.when(kind == "VOID", 1).when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), 3).otherwise(2))
+        return F.when(kind.isNull(), F.lit(None)).otherwise(F.struct(F.when(kind == "STRING", 7).otherwise(F.coalesce(number, other, F.lit(8))).alias("tag"), v.alias("v")))
+
+    def parts(x: Column) -> Column:
+        tag, v = x["tag"], x["v"]
+        return F.when(
+            tag.isNotNull(),
+            F.struct(
+                tag.cast("int").alias("tag"), F.when(tag == 4, F.try_variant_get(v, "$", "bigint")).alias("i"), F.when(tag == 5, F.try_variant_get(v, "$", "double")).alias("f"),
+                F.when(tag == 6, F.try_variant_get(v, "$", "decimal(20,0)")).alias("u"), F.when(tag == 7, F.try_variant_get(v, "$", "string")).when(tag == 8, F.to_json(v)).alias("s"),
+            ),
+        )
+
+    found = F.transform(F.array(extract(F.try_parse_json(doc), path)), lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")))
+    return F.transform(F.transform(found, key), parts)[0]
 
 
 def order_key(value: Any) -> tuple:
@@ -85,14 +96,17 @@ def literal_key(value: Any) -> Column:
 
 
 def may_equal(doc: Column, path: str, value: Any) -> Column | None:
-    """A cheap condition on the JSON text that holds wherever the value at the path equals this one; None if there is none."""
+    """A cheap condition on the JSON text that holds wherever the value at the path equals this one; None if there is none.
+    First that the text holds the value's own, which needs no parsing (strings may be written with escapes), then that it
+    stands at the path."""
     raw = raw_text(doc, path)
     if isinstance(value, bool):
-        return raw == ("true" if value else "false")
+        text = "true" if value else "false"
+        return doc.contains(text) & (raw == text)
     if isinstance(value, str):
-        return raw == value
+        return (doc.contains(value) | doc.contains("\\")) & (raw == value)
     if isinstance(value, int):
-        return raw.try_cast("bigint") == value if -(1 << 63) <= value < 1 << 63 else raw.isNotNull()
+        return doc.contains(str(value)) & (raw.try_cast("bigint") == value if -(1 << 63) <= value < 1 << 63 else raw.isNotNull())
     return raw.isNotNull() if isinstance(value, float) else None
 
 

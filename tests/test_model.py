@@ -11,18 +11,24 @@ from recordspark.operators.documents import Direction
 from recordspark.plans.model import AlreadyExists, Config, InvalidArgument, InvalidConfig, KeyRange, NotFound, StoreDef, object_store
 
 
-def test_key_range_includes():
-    assert KeyRange.only(5).includes(5) and not KeyRange.only(5).includes(6)
-    closed, open_ = KeyRange.bound(10, 20), KeyRange.bound(10, 20, True, True)
-    assert [closed.includes(x) for x in (9, 10, 15, 20, 21)] == [False, True, True, True, False]
-    assert [open_.includes(x) for x in (10, 11, 20)] == [False, True, False]
-    assert KeyRange.lower_bound(18).includes(18) and not KeyRange.lower_bound(18, True).includes(18)
-    assert not KeyRange.upper_bound(65, True).includes(65) and KeyRange.upper_bound(65).includes(65)
-    assert KeyRange().is_unbounded and KeyRange().includes(None)
-    assert not KeyRange.bound(1, 3).includes(2.0)  # whole numbers come before others
-
-
-ORDERED = [None, False, True, -100, -1, 0, 1, 42, 100, -3.14, -1.0, 0.5, 1.0, 3.14, (1 << 63) + 5, "", "a", "b", "hello", [1, 2], {"a": 1}]
+@given(st.integers(-30, 30), st.integers(-30, 30), st.booleans(), st.booleans())
+def test_key_range_includes(low, high, low_open, high_open):
+    """As plain comparisons say, of whole numbers around the bounds."""
+    for x in range(-32, 33):
+        above, below = (x > low if low_open else x >= low), (x < high if high_open else x <= high)
+        assert KeyRange.bound(low, high, low_open, high_open).includes(x) == (above and below)
+        assert KeyRange.lower_bound(low, low_open).includes(x) == above and KeyRange.upper_bound(high, high_open).includes(x) == below
+        assert KeyRange.only(low).includes(x) == (x == low)
+
+
+def test_key_range_across_types():
+    assert KeyRange().is_unbounded and all(KeyRange().includes(x) for x in (None, "", -1e9, [0]))
+    assert not KeyRange.bound(-2, 2).includes(0.25) and not KeyRange.bound(-2, 2).includes("0")  # whole numbers are apart from others
+    assert KeyRange.lower_bound(10**6).includes(0.25) and KeyRange.upper_bound("z").includes(10**6)
+
+
+#: By the documented order: null, false, true, whole numbers, other numbers, whole ones beyond 64 bits, strings, the rest as text.
+ORDERED = [None, False, True, *(s * 7**n for s, n in ((-1, 9), (-1, 2), (-1, 0), (0, 0), (1, 0), (1, 3), (1, 20))), *(x / 8 for x in (-900, -8, -3, 0, 5, 8, 5000)), (1 << 63) + 77, *(w * n for w, n in (("", 1), ("Z", 1), ("ab", 2), ("b", 1), ("ß", 1), ("𝄞", 1))), [3], [None], {"k": []}]
 
 
 def test_order_across_types():
