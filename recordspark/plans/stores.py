@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from recordspark.functions import paths
 from recordspark.operators.documents import Documents
-from recordspark.plans.catalogue import C, DAY, DAILY, FIRST_DAY, LWW, NOW, P, R, daily, log, query, table
-from recordspark.plans.model import NEVER, AlreadyExists, Config, InvalidArgument, ScanRange, StoreDef, TransactionConflict
+from recordspark.plans.catalogue import C, DAY, DAILY, FIRST_DAY, LWW, NOW, P, R, T1, T2, daily, log, query, table
+from recordspark.plans.model import NEVER, AlreadyExists, Config, InvalidArgument, InvalidConfig, ScanRange, StoreDef, TransactionConflict
 from recordspark.sources.docdb import DocDB
 from recordspark.sources.table import RecordTable
 from recordspark.sources.workdir import removed_at_exit, shared_dir
@@ -109,6 +109,46 @@ def table_maintained(spark, d):
     return read(records_at(spark, at).scan())
 
 
+@query(f"{READ} {R} WHERE ts BETWEEN {T1} AND {T2} AND NOT (key >= 'view:7' AND key < 'view:8')")
+def table_time_pruned(spark, d):
+    """Files by day: a scan of some days opens theirs alone, and still sees range deletes of other days."""
+    at, rows = folder(spark), log(spark, d)
+    t = records_at(spark, at, Config(ts_bucket_us=DAY))
+    t.write_batch(batch(rows))
+    t.delete_range("view:7", "view:8")
+    return read(records_at(spark, at, Config(ts_bucket_us=DAY)).scan(ScanRange.time_range(T1, T2)))
+
+
+@query(f"SELECT CAST(count(*) + 1 AS BIGINT) AS records_written, CAST(1 AS BIGINT) AS records_deleted, CAST(count(*) AS BIGINT) AS records_read, CAST(3 AS BIGINT) AS batches, CAST(1 AS BIGINT) AS compactions, CAST(1 AS BIGINT) AS parts, CAST(count(*) AS BIGINT) AS live_entries, true AS timed, true AS sized FROM {R}")
+def table_stats(spark, d):
+    """What a table has counted, and how long its operations took: a percentile for each kind, in order."""
+    t, rows = records_at(spark, folder(spark)), log(spark, d)
+    for kind in (F.col("key") < "p", F.col("key") >= "p"):
+        t.write_batch(batch(rows.where(kind)))
+    t.delete_range("~", None)
+    t.compact()
+    read_rows = len(t.query(ScanRange.all()))
+    s, steps = t.stats, [[t.stats.latency[x].percentile(q) for q in (0.5, 0.9, 0.99)] for x in ("write", "read", "compaction")]
+    timed = all(0 < a <= b <= c for a, b, c in steps) and s.latency["write"].n == 3
+    sized = s.bytes_written > 0 and s.live_bytes > 0 and s.ratios()["write_amplification"] > 1 and s.records_read == read_rows
+    counts = (s.records_written, s.records_deleted, s.records_read, s.batches, s.compactions, s.parts, s.live_entries)
+    return spark.createDataFrame([(*counts, timed, sized)], "records_written long, records_deleted long, records_read long, batches long, compactions long, parts long, live_entries long, timed boolean, sized boolean")
+
+
+@query("SELECT setting FROM (VALUES ('default_ttl_s'), ('compaction_threshold'), ('compaction_ratio'), ('compression'), ('compression_level'), ('ts_bucket_us'), ('manifest_snapshot_every'), ('max_broadcast_bytes')) AS t(setting)")
+def configs_refused(spark, d):
+    """Settings that are checked, each with a value that no table may have."""
+    def refused(name: str, value) -> bool:
+        try:
+            Config(**{name: value}).validate()
+        except InvalidConfig:
+            return True
+        return False
+
+    odd = {"default_ttl_s": 0, "compaction_threshold": 0, "compaction_ratio": 0, "compression": "rar", "compression_level": 99, "ts_bucket_us": 0, "manifest_snapshot_every": 0, "max_broadcast_bytes": -1, "extra": {}}
+    return spark.createDataFrame([(n,) for n, v in odd.items() if refused(n, v)], "setting string")
+
+
 @query(f"SELECT CAST(count(*) AS BIGINT) AS rows, 1 AS versions, 2 AS parts FROM {R}")
 def table_manifest_snapshot(spark, d):
     """Old versions are removed, the newest still holds all parts."""

@@ -312,7 +312,9 @@ class RecordTable:
         points = records.newest(rows.where(F.col("op") != Op.DELETE_RANGE))
         covered = records.without_ranges(points, records.tombstones(rows), *self.bounds, known=sum(p.ranges for p in chosen))
         merged = covered.where(F.col("op") == Op.PUT) if whole else covered.unionByName(rows.where(F.col("op") == Op.DELETE_RANGE))
-        n = max(1, sum(p.bytes for p in chosen) // (128 << 20))
+        # Files of 128 MB; of less, down to 4 MB, where a read would leave cores idle.
+        size = sum(p.bytes for p in chosen)
+        n = max(1, size // (128 << 20), min(self.spark.sparkContext.defaultParallelism, size // (4 << 20)))
         part = self._write(merged.repartitionByRange(n, "key").sortWithinPartitions("key", "ts"), merged=whole)
         # Readers of an older version still need the old folders; vacuum() removes them later.
         kept = tuple(p for p in base.parts if p not in chosen)
