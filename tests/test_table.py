@@ -131,6 +131,25 @@ def test_manifests_on_a_store_of_hadoop(spark, tmp_path):
     assert keys(table) == [("a", 1), ("é", 1)]
 
 
+def test_a_commit_between_reading_and_publishing(table, spark, monkeypatch):
+    """Another writer's commit just after this one has looked is never lost."""
+    table.write_batch([("a", 1, V)])
+    other, base = RecordTable(spark, table.path, clock=lambda: 0), table.manifest.current()
+    new = table.staged(table.entries([(0, "c", 1, NEVER, V, None)]), base)
+    look = table.manifest.newest
+
+    def looked():
+        seen = look()
+        other.write_batch([("b", 1, V)])
+        return seen
+
+    monkeypatch.setattr(table.manifest, "newest", looked)
+    with pytest.raises(TransactionConflict):
+        table.manifest.publish(base, new)
+    monkeypatch.undo()
+    assert keys(table) == [("a", 1), ("b", 1)]
+
+
 def test_a_range_without_an_end(table):
     table.write_batch([("a", 1, V), ("b", 1, V), ("\U0010ffff", 1, V)])
     table.delete_range("b", None)
@@ -197,3 +216,16 @@ def test_scans_of_a_merged_table(table, spark):
     want = [(r["key"], r["ts"], bytes(r["value"])) for r in table.scan(version=unmerged).orderBy("key", "ts").collect()]
     assert merged == want and len(want) == 400 - 20 - 1 + 1 + 1
     assert "Exchange hashpartitioning" not in plan(table.scan()).split("Union")[1].split("BroadcastExchange")[0]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from recordspark.plans.model import InvalidConfig
+    from recordspark.sources.workdir import shared_dir
+
+    context = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(InvalidConfig, match="spark.checkpoint.dir"):
+            shared_dir(context(master))
+        assert shared_dir(context(master, **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
