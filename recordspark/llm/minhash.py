@@ -301,8 +301,22 @@ def digest(text_col: str = "text") -> F.Column:
     return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
 
+#: A character that isn't white space: what a word has.
+WORD = r"[^\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def classed(docs: DataFrame, similarity: float = SIMILARITY, exact_group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, sig (the text's digest), root (a number for its class; null without a word), class_id (the class's least id)."""
+    classes = text_classes(docs, similarity, exact_group, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int"))
+    # Classes of several texts look up their least id; salted, as one may hold a large share of all texts.
+    least = classes.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).where("c > 1").select("root", "class_id", F.lit(True).alias("many"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = classes.join(least, ["root", "salt"], "left").select("sig", "root", F.when(F.col("many"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    return docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("sig")).join(classes, "sig", "left").select("doc_id", "sig", "root", "class_id")
+
+
+def text_classes(docs: DataFrame, similarity: float = SIMILARITY, exact_group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per distinct text that has a word: sig (its digest), id (the least that has it), root (a number for its class)."""
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = ids.select("doc_id", digest().alias("sig"), "text")
     base = stored(sketched(rows), "sketches")
@@ -350,9 +364,4 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY, exact_group: int =
     more = stored(verified(across, texts, similarity), "cross-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    classes = reps.join(roots, "rep", "left").select("sig", "id", F.coalesce("root", "rep").alias("root"), F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int").alias("salt"))
-    # Classes of several texts look up their least id; salted, as one may hold a large share of all texts.
-    least = classes.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).where("c > 1").select("root", "class_id", F.lit(True).alias("many"))
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    classes = classes.join(least, ["root", "salt"], "left").select("sig", "root", F.when(F.col("many"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
-    return rows.drop("text").join(classes, "sig", "left").select("doc_id", "sig", "root", "class_id")
+    return reps.join(roots, "rep", "left").select("sig", "id", F.coalesce("root", "rep").alias("root"))
