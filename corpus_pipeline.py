@@ -7,8 +7,9 @@ only. All but the last return the columns of `documents`; further columns of the
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordspark.llm import bpe, langid, minhash, mixing
@@ -21,6 +22,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.5
 
 
+def same(column: str) -> Column:
+    """The column as text to join by, in which null is a value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are mostly in one learned language; lang becomes the language found."""
     importable(spark)
@@ -34,17 +40,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat are one document; rows with neither an id nor a word all stay.
     """
     importable(spark)
-    classes = minhash.classed(docs)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig")
-    kept = classes.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.sig")
-    kept = kept.unionByName(classes.where("root is null").select("doc_id", "sig").distinct()).select(F.col("doc_id").alias("kept_id"), F.col("sig").alias("kept_sig"), F.lit(True).alias("kept"))
-    wordless = classes.where("root is null and doc_id is null").select(F.col("sig").alias("kept_sig")).distinct().withColumn("every", F.lit(True))
-    rows = docs.select(*COLUMNS, F.col("doc_id").alias("own_id"), minhash.digest().alias("sig"))
-    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & F.col("sig").eqNullSafe(F.col("kept_sig"))).drop("kept_sig")
-    rows = rows.join(wordless, F.col("own_id").isNull() & rows.sig.eqNullSafe(wordless.kept_sig), "left")
+    kept = minhash.text_classes(docs).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "sig")).alias("row"))
+    kept = kept.select(same("row.id").alias("_id"), F.col("row.sig").alias("_sig"))
+    rows = docs.select(*COLUMNS).withColumns({"_id": same("doc_id"), "_sig": F.coalesce(minhash.digest(), F.lit(b""))})
+    has_word = F.coalesce(F.regexp_like("text", F.lit(minhash.WORD)), F.lit(False))
     # Of rows that repeat the one whose other columns come first.
-    same = Window.partitionBy("own_id", "sig", F.when(F.col("every"), F.monotonically_increasing_id())).orderBy("lang", "source", "n_chars")
-    return rows.withColumn("turn", F.row_number().over(same)).where("turn = 1").select(*COLUMNS)
+    first = lambda df: df.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_sig").orderBy("lang", "source", "n_chars"))).where("_turn = 1")
+    wordless = rows.where(~has_word)
+    out = [first(rows.where(has_word).join(kept, ["_id", "_sig"])), first(wordless.where("doc_id is not null")), wordless.where("doc_id is null")]
+    return reduce(DataFrame.unionByName, (df.select(*COLUMNS) for df in out))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The mix says how often rows of equal (id, source, size) are taken; where several share these, the first of them by
     their texts' digests get one more than the others.
     """
-    same = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null is a value here
     key = [same("doc_id").alias("_id"), same("source").alias("_source"), F.col("size").alias("_size")]
     taken = mixing.mix(docs).groupBy(*key).agg(F.count("*").alias("_rows"), F.min("copies").alias("_each"), F.sum("copies").alias("_all")).where("_all > 0")
     rows = docs.select(*COLUMNS).withColumn("size", mixing.size_of("text")).withColumns(dict(zip(("_id", "_source", "_size"), key)))
