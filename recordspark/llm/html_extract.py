@@ -11,7 +11,8 @@ standard deviation). The lines above it are the content lines, and they select e
 
 Before that, elements that markup says are no article text (scripts, styles, navigation, page headers and footers, asides,
 forms, by tag or role; adverts, cookie notices, sidebars, menus, reader comments, by a word of their class or id) are left
-out as they stream by. Words that articles use of their own parts (warning, note, related, discussion) aren't among these.
+out as they stream by. Words that articles use of their own parts (related, discussion, alert) count outside of named
+articles alone, others (warning, note) not at all.
 
 A page is handled by itself: no shuffle, no state, whatever the table's size. Each event costs the same whatever the depth
 of the page: open elements are found by tag, votes are summed upwards once.
@@ -52,6 +53,11 @@ OUT_WORDS = frozenset(
     cookie cookies consent gdpr notice notices popup modal overlay paywall banner ad ads adv advert adverts advertisement advertisements advertising adsense adslot billboard
     sponsor sponsored sponsors promo promos promotion share sharing social subscribe subscription newsletter signup login hidden""".split()
 )
+#: Words that are left out too where no article or main element is open; within one they may name parts of the article.
+OUTSIDE_WORDS = frozenset(
+    """discussion reply replies reactions feedback related recommended recommendations trending popular widget widgets rail aside alert alerts
+    notification notifications disclaimer register search searchbox form follow lightbox""".split()
+)
 #: Of these even headings and paragraphs are left out.
 ALWAYS_OUT = frozenset("ad ads advert advertisement sponsored comment comments notice cookie promo".split())
 #: Told within longer words too (leftsidebar, pagefooter).
@@ -103,11 +109,12 @@ class Lines(HTMLParser):
         words = words_of(at)
         if tag in KEPT_TAGS:
             return tag == "article" and bool(words & COMMENT_WORDS)
+        outside = not self.places["article"] and not self.places["main"]
         if tag == "header" or words & {"header", "masthead"}:  # of the page; an article's own has its title
-            return tag not in HEADINGS and not self.places["article"] and not self.places["main"]
+            return tag not in HEADINGS and outside
         if words & ALWAYS_OUT or words & COMMENT_WORDS or any(map(OUT_PARTS.search, words)):
             return True
-        if words & OUT_WORDS and tag not in HEADINGS and tag not in ("p", "b", "i", "em", "strong", "a"):
+        if (words & OUT_WORDS or outside and words & OUTSIDE_WORDS) and tag not in HEADINGS and tag not in ("p", "b", "i", "em", "strong", "a"):
             return True
         return (at.get("role") or "").lower() in OUT_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in (at.get("style") or "").replace(" ", "").lower()
 

@@ -74,6 +74,11 @@ def test_words_of_articles_stay():
         assert html_extract.main_text(f"<body><article><h1>Title</h1><p>Text of it.</p><{part}>This too.</{part.split()[0]}><p>More.</p></article>") == "Title\nText of it.\nThis too.\nMore.", part
 
 
+def test_words_that_count_outside_of_articles():
+    page = "<body><div><h1>Title</h1><p>%s</p></div><div class='discussion'><p>%s</p></div><div id='related-posts'><p>%s</p></div></body>" % tuple(x * 30 for x in ("Long text. ", "A reader says. ", "Other posts. "))
+    assert html_extract.main_text(page) == "Title\n" + ("Long text. " * 30).strip()
+
+
 def page_without_names(rnd):
     """Its main text, and a page whose parts only differ in how dense their text is: no telling tag, class or id."""
     word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 9)))
@@ -538,3 +543,16 @@ def test_components(spark):
     random.Random(1).shuffle(chain)
     got = {r.rep: r.root for r in minhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200}
+
+
+def test_what_is_a_word_is_the_same_in_sql(spark):
+    """The pattern tells white space as str.split does, in Python and in Spark."""
+    import re
+
+    blank = [c for c in range(0x110000) if not chr(c).split()]
+    assert blank == [c for c in range(0x110000) if not re.search(minhash.WORD, chr(c))] and len(blank) > 20
+    rows = [(chr(c),) for c in [*blank, 0x200B, 0x180E, 0xFEFF, 0x1F600, 0x61]]
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").coalesce(1).select(F.regexp_like("text", F.lit(minhash.WORD))).collect()]
+    assert got == [False] * len(blank) + [True] * 5
