@@ -95,6 +95,11 @@ def literal_key(value: Any) -> Column:
     return F.struct(F.lit(tag).cast("int").alias("tag"), *[F.lit(content.get(k) if k != "u" or k not in content else str(content[k])).cast(t).alias(k) for k, t in kinds.items()])
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, as a lambda's variable."""
+    return F.transform(F.array(value), use)[0]
+
+
 def may_equal(doc: Column, path: str, value: Any) -> Column | None:
     """A cheap condition on the JSON text that holds wherever the value at the path equals this one; None if there is none.
     First that the text holds the value's own, which needs no parsing (strings may be written with escapes), then that it
@@ -115,8 +120,8 @@ def may_be_between(doc: Column, path: str, low: Any, high: Any) -> Column | None
     raw = raw_text(doc, path)
     whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and -(1 << 63) <= x < 1 << 63
     if whole(low) and whole(high):
-        return raw.try_cast("bigint").between(low, high)
-    return (raw >= low) & (raw < high) if isinstance(low, str) and isinstance(high, str) else None
+        return once(raw.try_cast("bigint"), lambda x: x.between(low, high))
+    return once(raw, lambda x: (x >= low) & (x < high)) if isinstance(low, str) and isinstance(high, str) else None
 
 
 def pk_text(value: Any) -> str:

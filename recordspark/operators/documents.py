@@ -73,9 +73,11 @@ class Documents:
 
     def between(self, path: str, low: Any, high: Any) -> Column:
         """low <= value < high."""
-        k = self.key(path)
-        exact = (k >= self.literal(low)) & (k < self.literal(high))
-        first = None if self.doc is None else paths.may_be_between(F.col(self.doc), path, low, high)
+        inside = lambda k: (k >= self.literal(low)) & (k < self.literal(high))
+        if self.doc is None:
+            return inside(F.col(path))
+        exact = paths.once(self.key(path), inside)
+        first = paths.may_be_between(F.col(self.doc), path, low, high)
         return exact if first is None else F.coalesce(first, F.lit(False)) & exact
 
     def with_df(self, df: DataFrame) -> Documents:
