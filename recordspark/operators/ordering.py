@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordspark.sources.workdir import shared_dir
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+from recordspark.sources.workdir import reliable
 
 
 def with_ordinals(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from recordspark.plans.model import InvalidConfig
 
@@ -31,8 +31,10 @@ def file_system(spark: SparkSession, path: str):
 
 
 def removed_at_exit(spark: SparkSession, path: str) -> str:
-    """The path, which Hadoop deletes when the driver's JVM ends."""
+    """The path, made a folder if it isn't there, which Hadoop deletes when the driver's JVM ends."""
     fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        fs.mkdirs(at)  # what isn't there can't be marked
     fs.deleteOnExit(at)
     return path
 
@@ -40,3 +42,11 @@ def removed_at_exit(spark: SparkSession, path: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = file_system(spark, path)
     fs.delete(at, True)
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder; the session's own folder there goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    removed_at_exit(spark, spark.sparkContext.getCheckpointDir())
+    return df.checkpoint()
