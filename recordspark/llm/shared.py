@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordspark.sources.workdir import reliable as checkpointed
 from recordspark.sources.workdir import remove, removed_at_exit, shared_dir
 
+__all__ = ["MADE", "checkpointed", "dropped", "importable", "slices", "stored", "table", "unit_interval"]
+
 #: Paths of the tables that stored() has written and nothing has deleted.
 MADE: list[str] = []
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -45,12 +48,6 @@ def dropped(spark: SparkSession, since: int) -> None:
         remove(spark, MADE.pop())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def unit_interval(*parts) -> F.Column:
     """A number in [0, 1) from the MD5 of the parts' text: the same in every run and in other SQL engines."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
