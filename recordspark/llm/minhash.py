@@ -324,10 +324,10 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, exact_group: i
     # Each distinct text gets a number of its own, in the order of its least id.
     reps = stored(found.orderBy(F.col("id").asc_nulls_last(), "sig").withColumn("rep", F.monotonically_increasing_id()), "sketch-reps")
     keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    heads = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("n_a"), F.count("*").alias("size")).where("size > 1")
     alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)  # noqa: E731  what texts of these lengths can reach
 
-    held = stored(keyed.join(heads, "key").select("key", "size", "rep", "n", F.col("head.rep").alias("a"), F.col("head.n").alias("n_a")), "band-members")
+    held = stored(keyed.join(heads, "key").select("key", "size", "rep", "n", "a", "n_a"), "band-members")
     star = stored(held.where((F.col("rep") != F.col("a")) & alike(F.col("n"), F.col("n_a"))).select("a", F.col("rep").alias("b")).distinct(), "star-pairs")
     wanted = reps.join(held.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("sig").alias("own"), "id")
     texts = rows.join(wanted, (F.col("sig") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "text")
