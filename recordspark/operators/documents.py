@@ -13,7 +13,7 @@ from enum import Enum
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,7 +203,8 @@ class Cursor:
     """An ordered result and a place in it.
 
     What comes next is read by key: the rows after the last one that was fetched, of which a page is a top-k. So a walk over
-    n rows costs n / `page` reads, each of which the scan can filter by key, not n sorts of everything.
+    n rows costs n / `page` reads, each of which the scan can filter by key, not n sorts of everything. Rows of equal keys
+    are told apart by a hash of their columns, and rows that are equal altogether by how many were given.
     """
 
     rows: DataFrame
@@ -211,8 +212,8 @@ class Cursor:
     down: bool = False
     page: int = 1000
     at: int = 0  # rows before the place
-    last: tuple | None = None  # the order's values of the last row that fetch() gave
-    skip: int = 0  # rows that advance() has passed since
+    last: tuple | None = None  # the order's values, and the hash, of the last row that fetch() gave
+    skip: int = 0  # rows from there on (the given ones with these values, and what advance() has passed)
     ahead: list = field(default_factory=list)  # read after `last`, not given yet
 
     @property
@@ -225,38 +226,48 @@ class Cursor:
     def with_ordinals(self) -> DataFrame:
         return with_ordinals(self.rows, *self.order)
 
-    def after_last(self) -> DataFrame:
-        if self.last is None:
-            return self.rows
-        later = F.lit(False)
-        for name, value in reversed(list(zip(self.by, self.last))):
-            c, v = F.col(name), literal_of(value, self.rows.schema[name].dataType)
-            # nulls come first upwards and last downwards
-            beyond = (c.isNull() if self.down else F.lit(False)) | F.coalesce(c < v if self.down else c > v, F.lit(False)) if value is not None else (F.lit(False) if self.down else c.isNotNull())
-            later = beyond | (c.eqNullSafe(v) & later)
-        return self.rows.where(later)
+    def _from_last(self) -> DataFrame:
+        """In order, with the hash as _tie: the rows not before the last that was fetched."""
+        told = [f.name for f in self.rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        rows = self.rows.withColumn("_tie", F.xxhash64(*told))
+        if self.last is not None:
+            *values, tie = self.last
+            later = F.col("_tie") >= F.lit(tie)
+            for name, value in reversed(list(zip(self.by, values))):
+                c, v = F.col(name), literal_of(value, self.rows.schema[name].dataType)
+                if value is None:  # nulls come first upwards and last downwards
+                    beyond = F.lit(False) if self.down else c.isNotNull()
+                else:
+                    beyond = F.coalesce(c < v, F.lit(True)) if self.down else F.coalesce(c > v, F.lit(False))
+                later = beyond | (c.eqNullSafe(v) & later)
+            rows = rows.where(later)
+        return rows.orderBy(*self.order, "_tie")
 
     def advance(self, n: int) -> DataFrame:
         """Skips n rows and gives the next (no row at the end), lazily."""
-        out = self.after_last().orderBy(*self.order).offset(self.skip + n).limit(1)
+        out = self._from_last().offset(self.skip + n).limit(1).drop("_tie")
         self.skip, self.at, self.ahead = self.skip + n + 1, self.at + n + 1, []
         return out
 
     def next_value(self) -> DataFrame:
         return self.advance(0)
 
-    def fetch(self, n: int) -> list:
+    def fetch(self, n: int) -> list[Row]:
         """The next n rows (fewer at the end); whole pages are read ahead."""
         out: list = []
+        row, places = Row(*self.rows.columns), [self.rows.columns.index(c) for c in self.by]
         while len(out) < n:
             if not self.ahead:
-                self.ahead = self.after_last().orderBy(*self.order).offset(self.skip).limit(max(self.page, n - len(out))).collect()
+                self.ahead = self._from_last().offset(self.skip).limit(max(self.page, n - len(out))).collect()
                 if not self.ahead:
                     break
             part = self.ahead[: n - len(out)]
             self.ahead = self.ahead[len(part) :]
-            self.last, self.skip = tuple(part[-1][c] for c in self.by), 0
-            out += part
+            for r in part:
+                key = (*(r[i] for i in places), r[-1])
+                self.skip = self.skip + 1 if key == self.last else 1
+                self.last = key
+            out += [row(*r[:-1]) for r in part]
         self.at += len(out)
         return out
 
