@@ -51,19 +51,6 @@ MOST_ROUNDS = 100
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-WORD_HASHES = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * MIX
     return x ^ (x >> np.uint64(29))
@@ -74,15 +61,15 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     words = text.split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(w) - width + 1)
     out = np.full(n, len(w) if len(w) < width else width, np.uint64)
     for i in range(min(width, len(w))):
         out = mixed(out + w[i : i + n])
-    order = np.argsort(out, kind="stable")
-    ranked = out[order]
+    ranked = np.sort(out)
     again = ranked[1:] == ranked[:-1]
     if again.any():  # label what has occurred before with its count
+        order = np.argsort(out, kind="stable")
         start = np.maximum.accumulate(np.where(np.concatenate([[True], ~again]), np.arange(n), 0))
         label = np.empty(n, np.uint64)
         label[order] = (np.arange(n) - start).astype(np.uint64)
