@@ -233,6 +233,41 @@ def test_pipeline_stages(stages):
         assert list(ids) == library.encode(text[i], add_special_tokens=False).ids and n == len(ids)
 
 
+def test_pipeline_equals_brute_force(spark, data):
+    """run() on whole tables: languages one by one, all pairs of texts, the mix in plain Python, the tokenizers library."""
+    import tokenizers
+    from test_native import plain_mix
+
+    import corpus_pipeline
+    from recordspark.llm import langid, minhash
+    from recordspark.llm.queries import tokenizer_path
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect() if (found := langid.infer(model, r.text)) and found[0][1] >= 0.5]
+    texts = sorted({t for _, t, _ in rows})
+    own, root = [minhash.shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(own):
+        for j in range(i):
+            if minhash.aligned(a, own[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    at, least = {t: i for i, t in enumerate(texts)}, {}
+    for i, t, source in sorted(rows, key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest())):
+        least.setdefault(find(at[t]), (i, t, source))
+    kept = list(least.values())
+    copies, _ = plain_mix(kept, (3.0, 1.0, 2.0), 1.5, 2.0)
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    want = [(i, tuple(library.encode(t, add_special_tokens=False).ids)) for (i, t, _), n in zip(kept, copies) for _ in range(n)]
+    got = [(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, data).collect()]
+    assert sorted(got) == sorted(want) and len(kept) < len(rows) <= docs.count() and len(got) > 100
+
+
 def test_pipeline_odd_rows(spark, docs, no_docs):
     import corpus_pipeline
 
