@@ -6,15 +6,16 @@ Each works in a new folder of the shared one, which goes when the driver ends.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordspark.functions import paths
-from recordspark.operators.documents import Documents
+from recordspark.operators.documents import Direction, Documents
 from recordspark.plans.catalogue import C, DAY, DAILY, FIRST_DAY, LWW, NOW, P, R, T1, T2, daily, log, query, table
-from recordspark.plans.model import NEVER, AlreadyExists, Config, InvalidArgument, InvalidConfig, ScanRange, StoreDef, TransactionConflict
+from recordspark.plans.model import NEVER, AlreadyExists, Config, InvalidArgument, InvalidConfig, ScanRange, StoreDef, TransactionConflict, object_store
 from recordspark.sources.docdb import DocDB
 from recordspark.sources.table import RecordTable
 from recordspark.sources.workdir import removed_at_exit, shared_dir
@@ -296,6 +297,42 @@ def store_catalog(spark, d):
     return spark.createDataFrame(rows, "store string, key_path string, index string, paths string, is_unique boolean, multi_entry boolean")
 
 
+@query(
+    "SELECT form, store, key_path, index, paths, is_unique FROM (VALUES ('built'), ('decorated')) AS f(form),"
+    " (VALUES ('part', 'p_partkey', 'by_brand', 'p_brand', false), ('part', 'p_partkey', 'p_name', 'p_name', true)) AS t(store, key_path, index, paths, is_unique)"
+)
+def store_schema_forms(spark, d):
+    """The same store stated step by step and as a decorated class, applied to a database each."""
+
+    @object_store("p_partkey", name="part")
+    @dataclass
+    class Part:
+        p_partkey: int
+        p_name: str = field(metadata={"index": True, "unique": True})
+        p_brand: str = field(metadata={"index": "by_brand"})
+
+    forms = {"built": StoreDef("part", "p_partkey").with_index("p_name", "p_name", unique=True).with_index("by_brand", "p_brand"), "decorated": Part}
+    rows = []
+    for form, schema in forms.items():
+        at = folder(spark)
+        DocDB(spark, at).apply_schemas(schema)
+        store = DocDB(spark, at).get_store("part")
+        rows += [(form, store.name, store.key_path, i.name, ",".join(i.key_paths), i.unique) for i in store.indexes]
+    return spark.createDataFrame(rows, "form string, store string, key_path string, index string, paths string, is_unique boolean")
+
+
+@query("SELECT * FROM (VALUES ('NEXT', false, false), ('prev', true, false), ('nextUnique', false, true), ('PREVUNIQUE', true, true), ('sideways', NULL, NULL)) AS t(name, down, is_unique)")
+def cursor_directions(spark, d):
+    """What a direction's name means; one that there isn't is refused."""
+    rows = []
+    for name in ("NEXT", "prev", "nextUnique", "PREVUNIQUE", "sideways"):
+        try:
+            rows.append((name, Direction.parse(name).down, Direction.parse(name).unique))
+        except InvalidArgument:
+            rows.append((name, None, None))
+    return spark.createDataFrame(rows, "name string, down boolean, is_unique boolean")
+
+
 @query("SELECT invalid FROM (VALUES ('a b'), ('a/b'), ('é'), ('')) AS t(invalid)")
 def names_refused(spark, d):
     """Of some names those that no store may have."""
