@@ -190,6 +190,15 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"components aren't stars after {MOST_ROUNDS} rounds")
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots, as components() gives them, with further links (a, b): only the components that these join are worked on."""
+    root_of = lambda c: roots.select(F.col("rep").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    moved = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    old = roots.join(moved.select(F.col("rep").alias("root"), F.col("root").alias("new")), "root", "left").select("rep", F.coalesce("new", "root").alias("root"))
+    return checkpointed(old.unionByName(moved))  # what moved was a root, or alone, before
+
+
 def shared_counts(flat: np.ndarray, lengths: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many shingles each text of left shares with each of right. flat: the texts' shingles, one text after another."""
     _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -319,8 +328,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, exact_group: i
     wanted = reps.join(held.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("sig").alias("own"), "id")
     texts = rows.join(wanted, (F.col("sig") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "text")
     texts = stored(texts.dropDuplicates(["rep"]), "candidate-texts")
-    links = stored(verified(star, texts, similarity), "star-links")
-    roots = components(links)
+    roots = components(stored(verified(star, texts, similarity), "star-links"))
 
     # Band keys whose members are in several components: pairs across those. Large keys first, in two rounds: what the
     # largest key of each text links leaves the fewer of its other keys in several components.
@@ -338,8 +346,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, exact_group: i
             done = keys = stored(keys.join(best, "key", "left_semi"), "first-keys")
         found = stored(links_in_blocks(large, keys.select("key", "size", "major", "major_size"), texts, similarity), "block-links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
+            roots = extended(roots, found)
         done = done.select("key")
 
     placed = place(held.where(F.col("size") <= exact_group))
@@ -350,5 +357,5 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, exact_group: i
     across = stored(across.select(F.col("rep").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti"), "cross-pairs")
     more = stored(verified(across, texts, similarity), "cross-links")
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = extended(roots, more)
     return reps.join(roots, "rep", "left").select("sig", "id", F.coalesce("root", "rep").alias("root"))

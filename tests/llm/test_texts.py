@@ -545,6 +545,17 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200}
 
 
+def test_components_with_further_links(spark):
+    rnd = random.Random(9)
+    links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    whole = {(r.rep, r.root) for r in minhash.components(frame(links)).collect()}
+    roots = minhash.components(frame(links[:200]))
+    for part in (links[200:250], links[250:], links[:40], [(1, 1)]):
+        roots = minhash.extended(roots, frame(part))
+    assert {(r.rep, r.root) for r in roots.collect()} == whole and roots.count() == len(whole)
+
+
 def test_what_is_a_word_is_the_same_in_sql(spark):
     """The pattern tells white space as str.split does, in Python and in Spark."""
     import re
