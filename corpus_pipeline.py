@@ -20,6 +20,7 @@ from recordspark.sources.workdir import remove, removed_at_exit, shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document in which no language holds this share is rejected, as is one without a letter.
 LEAST_SHARE = 0.5
+CACHE_WORDS = 100_000
 
 
 def same(column: str) -> Column:
@@ -68,9 +69,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document that the mix holds: doc_id, n_tokens, ids."""
+    """The ids of each document that the mix holds: doc_id, n_tokens, ids.
+
+    Workers keep their words' ids from task to task; few of them, as the same workers serve the other stages.
+    """
     importable(spark)
-    return bpe.encode(docs, tokenizer_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, tokenizer_path(), cache_words=CACHE_WORDS).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("mix", mix_sources), ("bpe", encode)]
