@@ -14,7 +14,8 @@ At scale: texts are sketched in one pass without a shuffle; equal texts collapse
 key's members are compared with the least of them (a star, not all pairs); linked components are then found, and every
 pair of a band key that is still in two components is compared: as rows up to `exact_group` texts, above it in blocks of
 `BLOCK` texts against blocks, where a count of shared shingles leaves only the pairs that can be similar to align.
-Each stage is a table in the shared folder; nothing about documents or links reaches the driver. Groups of thousands of
+Links are made stars within partitions; what is left of them goes to one task if it is at most ONE_TASK links, else through
+rounds over all tasks. Each stage is a table in the shared folder; nothing about documents or links reaches the driver. Groups of thousands of
 copies cost one comparison per distinct text. Hot keys are aggregated before they shuffle and joined under the
 adaptive split.
 
@@ -48,6 +49,8 @@ WIDTH, SIMILARITY = 5, 0.8
 SKETCHES, PICK, BANDS, ROWS_PER_BAND = 64, 2, 56, 4
 BLOCK, COLUMNS, SALTS = 128, 8192, 16
 MOST_ROUNDS = 100
+#: So many links at most are joined to components in one task (16 MB); more take rounds over all tasks.
+ONE_TASK = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,13 +168,55 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int =
     return found.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) as stars: each id that isn't the least of its component, and that least id."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            break
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    linked = root != np.arange(len(ids))
+    return ids[linked], ids[root[linked]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """links: (a, b). Fewer links (a, b) with the same components: each partition's as stars, of ONE_TASK links or more at a time."""
+    most = ONE_TASK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, count = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+        for batch in batches:
+            more.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            count += batch.num_rows
+            if count > max(most, len(held[0])):
+                held, more, count = stars(*map(np.concatenate, zip(held, *more))), [], 0
+                if len(held[0]) > most:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held)], ["a", "b"])
+                    held = held[0][:0], held[1][:0]
+        held = stars(*map(np.concatenate, zip(held, *more)))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, held)], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b). The least id of each linked id's component: (rep, root).
 
-    Each round links every id to the least id in its neighbourhood (and the neighbours to it), until the links are stars
+    Each partition's links are made stars first; if ONE_TASK links or fewer are left, one task joins them. Otherwise each
+    round links every id to the least id in its neighbourhood (and the neighbours to it), until the links are stars
     on roots; the number of rounds grows with the logarithm of the longest chain (more than MOST_ROUNDS are an error). A
     checkpoint ends each round.
     """
+    links = stored(contracted(links), "contracted-links")
+    if links.count() <= ONE_TASK:
+        return stored(contracted(links.coalesce(1)).select(F.col("a").alias("rep"), F.col("b").alias("root")), "components")
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())  # noqa: E731  equal only for equal edges
     before = mark(edges)
@@ -191,7 +236,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots, as components() gives them, with further links (a, b): only the components that these join are worked on."""
+    """roots, as components() gives them, with further links (a, b): only the components that these join are worked on, unless
+    one task can hold all."""
+    if roots.count() + links.count() <= ONE_TASK:
+        return components(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b")))
     root_of = lambda c: roots.select(F.col("rep").alias(c), F.col("root").alias(f"root_{c}"))
     between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     moved = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
@@ -260,8 +308,9 @@ def several_roots(members: DataFrame) -> DataFrame:
     return keys.where(F.col("size") > F.col("m.c")).select("key", "size", F.col("m.root").alias("major"), F.col("m.c").alias("major_size"))
 
 
-def links_in_blocks(members: DataFrame, keys: DataFrame, texts: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
-    """Links between the roots of each key, from all its pairs of different roots. members: key, rep, root; keys: of several_roots.
+def links_in_blocks(members: DataFrame, keys: DataFrame, texts: DataFrame, similarity: float, width: int = WIDTH, hashes: DataFrame | None = None) -> DataFrame:
+    """Links between the roots of each key, from all its pairs of different roots. members: key, rep, root; keys: of several_roots;
+    hashes: of shingled() for all members, if they are at hand.
 
     Members are dealt to blocks by a hash, those of the most frequent root to blocks of their own, which needn't meet each
     other. A pair of blocks is one bounded unit of work.
@@ -274,7 +323,8 @@ def links_in_blocks(members: DataFrame, keys: DataFrame, texts: DataFrame, simil
         F.when(is_major, minor - 1).otherwise(minor + major - 1).alias("last"),
     )
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select("key", "rep", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    hashes = stored(shingled(texts.join(dealt.select("rep").distinct(), "rep", "left_semi"), width), "block-shingles")
+    if hashes is None:
+        hashes = stored(shingled(texts.join(dealt.select("rep").distinct(), "rep", "left_semi"), width), "block-shingles")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rep").combine_chunks()
@@ -325,36 +375,40 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, exact_group: i
 
     held = stored(keyed.join(heads, "key").select("key", "size", "rep", "n", "a", "n_a"), "band-members")
     star = stored(held.where((F.col("rep") != F.col("a")) & alike(F.col("n"), F.col("n_a"))).select("a", F.col("rep").alias("b")).distinct(), "star-pairs")
-    wanted = reps.join(held.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("sig").alias("own"), "id")
-    texts = rows.join(wanted, (F.col("sig") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "text")
-    texts = stored(texts.dropDuplicates(["rep"]), "candidate-texts")
+    # As a struct an id may be null and equal; the join has dealt the rows as dropDuplicates() needs them.
+    wanted = reps.join(held.select("rep").distinct(), "rep", "left_semi").select("rep", "sig", F.struct(F.col("id").alias("doc_id")).alias("own"))
+    texts = rows.select("sig", F.struct("doc_id").alias("own"), "text").join(wanted, ["sig", "own"])
+    texts = stored(texts.dropDuplicates(["sig", "own"]).select("rep", "text"), "candidate-texts")
     roots = components(stored(verified(star, texts, similarity), "star-links"))
 
     # Band keys whose members are in several components: pairs across those. Large keys first, in two rounds: what the
     # largest key of each text links leaves the fewer of its other keys in several components.
     place = lambda members: members.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    done = None
-    for last in (False, True):
-        large = place(held.where(F.col("size") > exact_group))
-        keys = several_roots(large)
-        keys = stored(keys.join(done, "key", "left_anti") if last else keys, "large-keys")
-        if keys.isEmpty():
-            break
-        large = stored(large.join(keys.select("key"), "key", "left_semi"), "large-members")
-        if not last:
-            best = large.join(keys, "key").groupBy("rep").agg(F.max(F.struct("size", "key")).alias("best")).select(F.col("best.key").alias("key")).distinct()
-            done = keys = stored(keys.join(best, "key", "left_semi"), "first-keys")
-        found = stored(links_in_blocks(large, keys.select("key", "size", "major", "major_size"), texts, similarity), "block-links")
+    large = stored(place(held.where(F.col("size") > exact_group)), "large-members")
+    keys = stored(several_roots(large), "large-keys")
+    if not keys.isEmpty():
+        large = stored(large.join(keys.select("key", "size"), "key"), "mixed-large-members")
+        # Each text of these keys has one that is its largest, so the first round meets all texts of the second.
+        best = large.groupBy("rep").agg(F.max(F.struct("size", "key")).alias("best")).select(F.col("best.key").alias("key")).distinct()
+        first = stored(keys.join(best, "key", "left_semi"), "first-keys")
+        hashes = stored(shingled(texts.join(large.select("rep").distinct(), "rep", "left_semi")), "block-shingles")
+        found = stored(links_in_blocks(large.drop("size"), first, texts, similarity, hashes=hashes), "block-links")
         if not found.isEmpty():
             roots = extended(roots, found)
-        done = done.select("key")
-
-    placed = place(held.where(F.col("size") <= exact_group))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    placed = stored(placed.join(mixed_keys, "key", "left_semi"), "mixed-members")
-    other = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = placed.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("root") != F.col("root_b")) & alike(F.col("n"), F.col("n_b")))
-    across = stored(across.select(F.col("rep").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti"), "cross-pairs")
+        large = stored(place(large.drop("root").join(first.select("key"), "key", "left_anti")), "large-members-left")
+        keys = stored(several_roots(large), "large-keys-left")
+        if not keys.isEmpty():
+            found = stored(links_in_blocks(large, keys, texts, similarity, hashes=hashes), "block-links")
+            if not found.isEmpty():
+                roots = extended(roots, found)
+
+    # Of a small key the pairs at once, as its texts fit in an array.
+    own = F.collect_list(F.struct("rep", "n", "root")).alias("own")
+    placed = place(held.where(F.col("size") <= exact_group)).groupBy("key").agg(own, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    meet = lambda x, y: (x["rep"] < y["rep"]) & (x["root"] != y["root"]) & alike(x["n"], y["n"])
+    pairs = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: meet(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
+    across = placed.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    across = stored(across.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     more = stored(verified(across, texts, similarity), "cross-links")
     if not more.isEmpty():
         roots = extended(roots, more)
